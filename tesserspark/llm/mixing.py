@@ -4,9 +4,10 @@ Targets: every source gets min(cap * size, level * weight) with the one level at
 sum to the budget.  Sampling: a document is taken floor(rate) whole times, and the fraction left of
 the rate is met by taking every (1/fraction)-th document once more, in order of size within a cell
 of the source.  Neighbours in that order have nearly the same size, so a cell misses its share by
-less than its largest document; of ``PHASES`` phases of the selection, each source uses the one that
-comes nearest its target.  Cells hold about ``cell_rows`` documents each, so a source with a third of
-all rows is spread over many tasks.
+less than its largest document.  What the documents above the source's mean size miss is then met by
+the others, whose rate is corrected for it, so a source misses its target by a few small documents.
+Cells hold about ``cell_rows`` documents each, so a source with a third of all rows is spread over
+many tasks.
 """
 
 from __future__ import annotations
@@ -16,8 +17,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tesserspark.llm.common import materialize, words
 
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Phases tried for each source: the selection is the same rule, begun at another place.
-PHASES = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, budget: float | None = None) -> DataFrame:
@@ -51,18 +50,20 @@ def _decided(keyed: DataFrame, seed: str, cell_rows: int, weights: tuple[float,
     cells = F.ceil(F.col("source_rows") / cell_rows)
     dealt = rows.withColumn("__rate", rate).withColumn("__luck", luck).withColumn("__cell", F.pmod(F.conv(F.substring("__luck", 1, 8), 16, 10).cast("long"), cells))
     place = F.rank().over(Window.partitionBy("__source", "__cell").orderBy("size", "__luck", "id", "mark")) - 1
-    ranked = materialize(dealt.withColumn("__place", place).select("id", "source", "size", "mark", "source_size", "target", "__rate", "__place"), "ranked")
-    fraction = F.col("__rate") - F.floor("__rate")
-
-    def copies(phase) -> Column:
-        extra = F.floor((F.col("__place") + 1) * fraction + phase) - F.floor(F.col("__place") * fraction + phase)
-        return (F.floor("__rate") + extra).cast("long")
-
-    phases = [(j + 0.5) / PHASES for j in range(PHASES)]
-    misses = ranked.groupBy("source", "target").agg(*[F.abs(F.sum(copies(F.lit(p)) * F.col("size")) - F.col("target")).alias(f"m{j}") for j, p in enumerate(phases)])
-    best = F.array_min(F.array(*[F.struct(F.col(f"m{j}").alias("miss"), F.lit(p).alias("phase")) for j, p in enumerate(phases)]))["phase"]
-    chosen = misses.select(F.col("source").alias("__source"), best.alias("__phase"))  # one row per source
-    return ranked.join(chosen, F.col("source").eqNullSafe(F.col("__source"))).withColumn("copies", copies(F.col("__phase"))).select("id", "source", "size", "mark", "source_size", "target", "copies")
+    large = F.col("size") * F.col("source_rows") > F.col("source_size")
+    ranked = materialize(dealt.withColumn("__place", place).withColumn("__large", large).select("id", "source", "size", "mark", "source_size", "target", "__rate", "__place", "__large"), "ranked")
+
+    def extra(fraction: Column) -> Column:
+        return F.floor((F.col("__place") + 1) * fraction + 0.5) - F.floor(F.col("__place") * fraction + 0.5)
+
+    whole, fraction = F.floor("__rate"), F.col("__rate") - F.floor("__rate")
+    of_large = F.coalesce(F.sum(F.when(F.col("__large"), extra(fraction) * F.col("size"))), F.lit(0))
+    of_small = F.sum(F.when(~F.col("__large"), F.col("size")).otherwise(0))
+    left = F.col("target") - F.sum(whole * F.col("size")) - of_large
+    corrected = F.when(of_small > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), left / of_small))).otherwise(0.0)
+    rates = ranked.groupBy("source", "target").agg(corrected.alias("__small_rate")).select(F.col("source").alias("__source"), "__small_rate")  # one row per source
+    copies = whole + F.when(fraction == 0, 0).when(F.col("__large"), extra(fraction)).otherwise(extra(F.col("__small_rate")))
+    return ranked.join(rates, F.col("source").eqNullSafe(F.col("__source"))).withColumn("copies", copies.cast("long")).select("id", "source", "size", "mark", "source_size", "target", "copies")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
