@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserspark.llm import decontamination, html, mixing, quality, sharding, simhash, sql, tokens, toxicity
+from tesserspark.llm import decontamination, html, licenses, mixing, ngram_lm, quality, sharding, simhash, sql, tokens, toxicity
 from tesserspark.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -51,8 +59,10 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontamination": op2_decontamination,
     "op3_html": op3_html,
+    "op4_licences": op4_licences,
     "op5_tokens": op5_tokens,
     "op6_toxicity": op6_toxicity,
+    "op7_lm_scores": op7_lm_scores,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_sharding": op10_sharding,
