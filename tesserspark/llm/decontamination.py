@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesserspark.llm.common import let, materialize, plain_words
 
 WINDOW, GRAM = 13, 7
-#: The item fingerprints are broadcast up to this many rows (40 bytes each, so 40 MB); beyond, both sides are shuffled.
+#: Item fingerprints, and candidates with their few hashes, are broadcast up to this many rows (counted
+#: first; 16 to 100 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -85,7 +86,9 @@ def contaminations(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram
     # each item content with its fingerprints; which items have that content is joined at the end
     item_prints = materialize(least.select(F.xxhash64("ih").alias("content"), "fp").distinct(), "fingerprints")
     small = item_prints.count() <= BROADCAST_ROWS
-    hint = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+
+    def hint(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else df
 
     keyed = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"), plain_words(F.col("text")).alias("dw"))
     hashed = keyed.select("key", "mark", _hashed("dw").alias("dh"))
@@ -93,9 +96,10 @@ def contaminations(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram
     candidates = materialize(fp.join(hint(item_prints.withColumnRenamed("fp", "ifp")), F.col("fp") == F.col("ifp")).select("key", "mark", "content", "fp").distinct(), "candidates")
 
     # the candidates' words, once more; the places of each shared hash give the diagonals
+    few = candidates.count() <= BROADCAST_ROWS  # then the texts stay where they are read
     wanted = candidates.groupBy("key", "mark").agg(F.collect_set("fp").alias("fps"), F.collect_set("content").alias("contents")).select(F.col("key").alias("ckey"), F.col("mark").alias("cmark"), "fps", "contents")
     texts = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"), "text")
-    matched = texts.join(wanted, F.col("key").eqNullSafe(F.col("ckey")) & (F.col("mark") == F.col("cmark"))).dropDuplicates(["key", "mark"])
+    matched = texts.join(F.broadcast(wanted) if few else wanted, F.col("key").eqNullSafe(F.col("ckey")) & (F.col("mark") == F.col("cmark"))).dropDuplicates(["key", "mark"])
     spread = matched.select("key", "mark", "contents", "fps", plain_words(F.col("text")).alias("dw"))
     spread = spread.select("key", "mark", "contents", "fps", "dw", _hashed("dw").alias("dh"))
 
@@ -109,7 +113,7 @@ def contaminations(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram
     contents = own.select(F.xxhash64("ih").alias("content"), "iw", "ih").dropDuplicates(["content"])
     item_seeds = F.concat(*[F.transform(_grams(F.col("ih"), n), lambda h, i: F.struct(h.alias("fp"), i.cast("int").alias("at"))) for n in (gram, *short)])
     item_side = contents.select(F.col("content").alias("icontent"), "iw", item_seeds.alias("iseeds"))
-    pairs = seeded.withColumn("content", F.explode("contents")).join(hint(item_side) if small else item_side, F.col("content") == F.col("icontent"))
+    pairs = seeded.withColumn("content", F.explode("contents")).join(hint(item_side), F.col("content") == F.col("icontent"))
     diagonals = F.array_distinct(
         F.flatten(F.transform("seeds", lambda d: F.transform(F.filter("iseeds", lambda q: q["fp"] == d["fp"]), lambda q: d["at"] - q["at"])))
     )
@@ -117,7 +121,7 @@ def contaminations(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram
     hits = pairs.select("key", "mark", "content", runs.alias("runs")).where(F.size("runs") > 0)
     named = own.select(F.xxhash64("ih").alias("ncontent"), "item")
     by_doc = hits.groupBy("key", "mark").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"), F.collect_set("content").alias("found"))
-    listed = by_doc.select("key", "mark", F.explode("found").alias("content")).join(hint(named) if small else named, F.col("content") == F.col("ncontent"))
+    listed = by_doc.select("key", "mark", F.explode("found").alias("content")).join(hint(named), F.col("content") == F.col("ncontent"))
     ids = listed.groupBy("key", "mark").agg(F.array_sort(F.collect_set("item")).alias("item_ids")).select(F.col("key").alias("ikey"), F.col("mark").alias("imark"), "item_ids")
     joined = by_doc.join(ids, F.col("key").eqNullSafe(F.col("ikey")) & (F.col("mark") == F.col("imark")), "left")
     return joined.select("key", "mark", _covered(F.col("runs")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.array_sort("runs").alias("runs"))
@@ -154,6 +158,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, g
     columns = docs.columns
     found = contaminations(docs, items, window, gram)
     found = materialize(found.select(F.col("key").alias("__fkey"), F.col("mark").alias("__fmark"), F.col("n_hit").alias("__hit")), "hits")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     rows = docs.select(*[F.col(f"`{c}`").alias(f"__carry_{k}") for k, c in enumerate(columns)], F.col("doc_id").alias("__key"), F.xxhash64("text").alias("__mark"), F.col("text").alias("__text"))
     joined = rows.join(found, F.col("__key").eqNullSafe(F.col("__fkey")) & (F.col("__mark") == F.col("__fmark")), "left")
     bad = F.when(F.col("__hit").isNotNull(), _against(F.col("__hit"), F.size(plain_words(F.col("__text"))))).otherwise(False)
