@@ -240,11 +240,21 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return rows.join(heads, F.col("fp") == F.col("cfp")).select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head")["key"].alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """One row of each component, that of the least doc_id, with all columns."""
-    _, heads = _classed(docs, hot)
+def one_of_each(docs: DataFrame, hot: int = HOT, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One row of each component, that of the least doc_id, with all columns.
+
+    The rows that go, and the few keys that stand on several rows, are counted; up to
+    ``broadcast_rows`` they are broadcast and the texts stay where they are, beyond they are shuffled.
+    """
+    rows, heads = _classed(docs, hot)
     columns = docs.columns
-    keep = heads.select(F.col("head")["key"].alias("__key"), F.col("head")["mark"].alias("__mark")).distinct()
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"__carry_{k}") for k, c in enumerate(columns)], F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__own"))
-    kept = rows.join(keep, F.col("__id").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__mark")), "left_semi").dropDuplicates(["__id", "__own"])
+    keyed = rows.groupBy("key", "mark", "fp").agg(F.count(F.lit(1)).alias("n")).join(heads, F.col("fp") == F.col("cfp"))
+    head = (F.col("key").eqNullSafe(F.col("head")["key"])) & (F.col("mark") == F.col("head")["mark"])
+    marked = keyed.select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), F.when(~head, "drop").when(F.col("n") > 1, "several").alias("__what"))
+    some = materialize(marked.where("__what is not null"), "dropped")
+    some = F.broadcast(some) if some.count() <= broadcast_rows else some
+    every = docs.select(*[F.col(f"`{c}`").alias(f"__carry_{k}") for k, c in enumerate(columns)], F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__own"))
+    joined = every.join(some, F.col("__id").eqNullSafe(F.col("__key")) & (F.col("__own") == F.col("__mark")), "left")
+    single = joined.where("__what is null")
+    kept = single.unionByName(joined.where("__what = 'several'").dropDuplicates(["__id", "__own"]))
     return kept.select(*[F.col(f"__carry_{k}").alias(c) for k, c in enumerate(columns)])
