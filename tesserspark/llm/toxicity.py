@@ -54,28 +54,31 @@ def fit(texts: list[str], toxic: np.ndarray, share: float, alpha: float = 1.0, l
     slot = np.full(1 << BITS, -1, np.int32)
     if len(set(toxic.tolist())) < 2:
         return Model(slot, np.zeros(0), float(np.log(share / (1 - share))))
-    rows = [np.unique(grams(t)) for t in texts]
     df = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
-    for r, y in zip(rows, toxic):
-        df[int(y)][r] += 1
+    for t, y in zip(texts, toxic):  # grams are made twice rather than held
+        df[int(y)][np.unique(grams(t))] += 1
     n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
-    p, q = (df[1] + alpha) / (n[1] + 2 * alpha), (df[0] + alpha) / (n[0] + 2 * alpha)
-    ratio = np.log(p / q)
-    enough = df[0] + df[1] >= 3
-    gain = np.where(enough, np.abs(ratio) * np.sqrt(df[0] + df[1]), 0)
-    chosen = np.argsort(-gain, kind="stable")[: min(KEEP, int(enough.sum()))]
+    enough = np.flatnonzero(df[0] + df[1] >= 3)
+    clean, bad = df[0][enough], df[1][enough]
+    ratio = np.log((bad + alpha) / (n[1] + 2 * alpha) / ((clean + alpha) / (n[0] + 2 * alpha)))
+    best = np.argsort(-np.abs(ratio) * np.sqrt(clean + bad), kind="stable")[:KEEP]
+    chosen, r = enough[best], ratio[best]
     slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-    r = ratio[chosen]
-    found = [slot[x] for x in rows]
-    found = [x[x >= 0] for x in found]
+    del df, enough, clean, bad, ratio, best
+
+    def present(text: str) -> np.ndarray:
+        x = slot[grams(text)]
+        return np.unique(x[x >= 0])
+
+    found = [present(t) for t in texts]
     ptr = np.concatenate(([0], np.cumsum([len(x) for x in found])))
     idx = np.concatenate(found) if ptr[-1] else np.empty(0, np.int32)
-    doc = np.repeat(np.arange(len(rows)), np.diff(ptr))
+    doc = np.repeat(np.arange(len(texts)), np.diff(ptr))
     weight = np.where(toxic == 1, share / n[1], (1 - share) / n[0])
     w, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        z = bias + np.bincount(doc, (w * r)[idx], minlength=len(rows))
+        z = bias + np.bincount(doc, (w * r)[idx], minlength=len(texts))
         e = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - toxic)
         g = r * np.bincount(idx, e[doc], minlength=len(w)) + l2 * w
         gb = e.sum()
