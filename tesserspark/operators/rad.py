@@ -71,7 +71,7 @@ def shells(trajectory: Trajectory, centers: Sequence[str] | None = None, nearest
     mean = trajectory.frames.agg(F.avg("volume")).first()[0] / max(1, trajectory.n_atoms)
     reach = min(safe, 1.3 * (3 * mean * nearest / 12.566370614359172) ** (1 / 3))  # holds about twice ``nearest`` atoms
     columns = ["frame", "i", "si", "j", "sj", "d2", "dx", "dy", "dz"]
-    ranked = _ranked(neighbor_pairs(trajectory, reach, centers=None if centers is None else list(centers)).select(*columns))
+    ranked = _ranked(neighbor_pairs(trajectory, reach, centers=None if centers is None else list(centers)).select(*columns)).where(F.col("rank") <= nearest).persist()
     ends = _ends(ranked, nearest)
     done = ranked.join(ends, ["frame", "i"]).where(F.col("rank") < F.col("end"))
     wanted = trajectory.atoms if centers is None else trajectory.atoms.where(F.col("species").isin(list(centers)))
@@ -86,6 +86,7 @@ def shells(trajectory: Trajectory, centers: Sequence[str] | None = None, nearest
 
 def with_mutual(every: DataFrame) -> DataFrame:
     """Adds is_mutual: whether the neighbor's own shell holds the center.  ``every`` must have all shells, unfiltered."""
+    every = every.persist()
     back = every.select(F.col("frame").alias("f2"), F.col("i").alias("j2"), F.col("j").alias("i2"))
     joined = every.join(back, (F.col("frame") == F.col("f2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")), "left")
     return joined.withColumn("is_mutual", F.col("f2").isNotNull()).drop("f2", "i2", "j2")

@@ -61,6 +61,10 @@ def neighbor_pairs(trajectory: Trajectory, r_max: float, *, centers: list[str] |
     left = _located(trajectory, r_max, centers).select("frame", F.col("atom").alias("i"), F.col("species").alias("si"), *[F.col(f"f{k}").alias(f"p{k}") for k in (1, 2, 3)], *cells.H, F.explode(around).alias("cell"))
     right = _located(trajectory, r_max, neighbors).select(F.col("frame").alias("__frame"), F.col("atom").alias("j"), F.col("species").alias("sj"), *[F.col(f"f{k}").alias(f"q{k}") for k in (1, 2, 3)], _cell(F.col("k1"), F.col("k2"), F.col("k3")).alias("__cell"))
     own = F.col("i") < F.col("j") if half else F.col("i") != F.col("j")
+    # the work is in the pairs, not in the bytes that go in: partitions of a given number are not coalesced by size
+    spark = trajectory.atoms.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    left, right = left.repartition(parts, "frame", "cell"), right.repartition(parts, "__frame", "__cell")
     f = [F.col(f"q{k}") - F.col(f"p{k}") for k in (1, 2, 3)]
     g = [x - cells.image(x) for x in f]
     joined = left.join(right, (F.col("frame") == F.col("__frame")) & (F.col("cell") == F.col("__cell")) & own)
