@@ -30,7 +30,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserspark.llm.common import materialize
 
-KAPPA, BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS, HOT_WORDS = 4.0, 1_500_000, 60_000, 4_000_000, 256
+KAPPA, BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS, HOT_WORDS = 4.0, 1_000_000, 60_000, 4_000_000, 256
+#: A shard is built and queried in this many slices of its contexts, one after another, to hold less at once.
+SLICES = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 #: No word has white space, so these are no words.
 START, END = _hash(b" start"), _hash(b" end")
@@ -167,7 +169,7 @@ def _tokens(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch], flush: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _word_counts(batches: Iterator[pa.RecordBatch], flush: int = 700_000) -> Iterator[pa.RecordBatch]:
     """(word, n) of the training rows of each task: columns text, held."""
     held: Counter = Counter()
 
@@ -302,13 +304,39 @@ def _shard(totals: dict[int, int], kappa: float):
         if key[0].as_py() < 0:
             return pa.table({"kind": pa.array([1] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": pa.array(data, pa.binary())})
         parts = [_unpack(d, *_PAIRS) for d in data]
-        context = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        word = np.concatenate([p[2] for p in parts])
-        freq = np.concatenate([p[4] for p in parts]).astype(np.int64)
         base = np.cumsum([0] + [len(p[5]) for p in parts])
-        doc = np.concatenate([p[3].astype(np.int64) + b for p, b in zip(parts, base)])
         held = np.concatenate([p[5] for p in parts]).astype(bool)
-        del parts, data
+        n = int(base[-1])
+        sums = [np.zeros(n), np.zeros(n), np.zeros(n)]
+        missed: list[list] = [[] for _ in parts]
+        for piece in range(SLICES):
+            some = [(p[0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) for p in parts]
+            of = [np.repeat(x % np.uint64(SLICES) == np.uint64(piece), p[1]) for x, p in zip(some, parts)]
+            context = np.concatenate([np.repeat(p[0], p[1])[m] for p, m in zip(parts, of)])
+            word = np.concatenate([p[2][m] for p, m in zip(parts, of)])
+            freq = np.concatenate([p[4][m] for p, m in zip(parts, of)]).astype(np.int64)
+            doc = np.concatenate([p[3][m].astype(np.int64) + b for p, m, b in zip(parts, of, base)])
+            del some, of
+            part, miss = answered(context, word, freq, doc, held, n)
+            for total, x in zip(sums, part):
+                total += x
+            where = np.searchsorted(base, miss[1], "right") - 1
+            for i in np.unique(where):
+                mine = where == i
+                missed[i].append((miss[0][mine], (miss[1][mine] - base[i]).astype(np.uint16), miss[2][mine].astype(np.uint32)))
+        kinds, out_blocks, out = [], [], []
+        for i, block in enumerate(blocks):
+            kinds.append(0)
+            out_blocks.append(block)
+            out.append(_pack(*(x[int(base[i]) : int(base[i + 1])] for x in sums)))
+            if missed[i]:
+                kinds.append(2)
+                out_blocks.append(block)
+                out.append(_pack(*(np.concatenate(x) for x in zip(*missed[i]))))
+        return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(out_blocks, pa.int64()), "data": pa.array(out, pa.binary())})
+
+    def answered(context, word, freq, doc, held, n):
+        """(base, known, score) of the n documents from the pairs of some contexts, and the pairs never seen."""
         order = np.lexsort((word, context))
         context, word, freq, doc = context[order], word[order], freq[order], doc[order]
         taught = np.flatnonzero(~held[doc])
@@ -320,28 +348,15 @@ def _shard(totals: dict[int, int], kappa: float):
             trie = Trie(a[at], b[at], count, totals, kappa, folder)
             c1, log, seen = trie.query(context, word)
             del trie
-        n = int(base[-1])
         own = context != np.uint64(START)  # each occurrence of a word is once a context; the start mark is no token
-        if totals:  # a word dealt over shards may have no training pair in this one
+        if totals and len(context):  # a word dealt over shards may have no training pair in this one
             hot = np.array(sorted(totals), np.uint64)
             k = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
             c1 = np.where(hot[k] == context, np.array([totals[int(h)] for h in hot])[k], c1)
             log = np.where(seen, log, np.log10(kappa / (c1 + kappa)))
         sums = [np.bincount(doc, np.where(own, freq * np.log10(c1 + 1.0), 0), n), np.bincount(doc, np.where(own & (c1 > 0), freq, 0), n), np.bincount(doc, freq * log, n)]
         miss = np.flatnonzero(~seen)
-        where = np.searchsorted(base, doc[miss], "right") - 1
-        kinds, out_blocks, out = [], [], []
-        for i, block in enumerate(blocks):
-            s = slice(int(base[i]), int(base[i + 1]))
-            kinds.append(0)
-            out_blocks.append(block)
-            out.append(_pack(*(x[s] for x in sums)))
-            mine = miss[where == i] if len(miss) else miss
-            if len(mine):
-                kinds.append(2)
-                out_blocks.append(block)
-                out.append(_pack(word[mine], (doc[mine] - base[i]).astype(np.uint16), freq[mine].astype(np.uint32)))
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(out_blocks, pa.int64()), "data": pa.array(out, pa.binary())})
+        return sums, (word[miss], doc[miss], freq[miss])
 
     return run
 
