@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserspark.llm.common import materialize, words
 
-WEIGHTS = (1.0, 2.0, 3.0)
+WEIGHTS, CELL_ROWS = (1.0, 2.0, 3.0), 1_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0, budget: float | None = None) -> DataFrame:
@@ -71,7 +71,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("id"), source.alias("source"), F.size(words(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
 
 
-def mix(docs: DataFrame, seed: str = "mix", cell_rows: int = 1_000, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, seed: str = "mix", cell_rows: int = CELL_ROWS, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs``.
 
     A null text has size 0; a null source is one of the sources, the last.  A source of size 0 has
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, seed: str = "mix", cell_rows: int = 1_000, weights: tup
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, seed: str = "mix", cell_rows: int = 1_000, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: str = "mix", cell_rows: int = CELL_ROWS, weights: tuple[float, ...] = WEIGHTS, cap: float = 3.0) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns."""
     columns = docs.columns
     keyed = materialize(_keyed(docs), "sizes")

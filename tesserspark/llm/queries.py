@@ -69,4 +69,4 @@ QUERIES = {
     "pipeline": pipeline,
 }
 
-ORACLES = {"op2_decontamination": sql.OP2}
+ORACLES = {"op2_decontamination": sql.OP2, "op8_quality": sql.OP8, "op9_mixing": sql.OP9}
