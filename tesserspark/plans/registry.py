@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserspark.functions.bins import bin_edges
-from tesserspark.operators import angles, clustering, coordination, rad, rdf, scattering
+from tesserspark.operators import angles, carbon, clustering, coordination, diffraction, rad, rdf, scattering
 from tesserspark.operators.tables import Table
 from tesserspark.plans.neighbors import neighbor_pairs
 from tesserspark.sources.trajectory import project_embeddings
@@ -194,13 +194,69 @@ def event_runs(spark, d):
     return rad.contact_runs(rows, ["user_id", "event_type"]).select("user_id", "event_type", "start_frame", "end_frame", "lifetime_samples")
 
 
+def bessel_transform(spark, d):
+    """Transform of h(r) = g(r) - 1 of every pair, from the histogram."""
+    from tesserspark.functions import transforms
+
+    t = rdf.compute_rdfs(project_embeddings(spark, d), bins=100, r_range=(0.0, 8.0))
+    r = np.linspace(0.04, 7.96, 100)
+    weights = spark.createDataFrame([(k, float(w)) for k, w in enumerate(transforms.quadrature_weights(r))], "place int, weight double")
+    curves = t.long.select("r", "label", (F.col("value") - 1).alias("value"), F.floor(F.col("r") / 0.08).cast("int").alias("p")).join(F.broadcast(weights), F.col("p") == F.col("place"))
+    return _rounded(transforms.bessel_transform(curves, spark.range(1, 21).select(F.col("id").cast("double").alias("y")), "r", "y"), 5)
+
+
+def debye_histogram(spark, d):
+    """Open-boundary pair distances of each frame."""
+    t = project_embeddings(spark, d)
+    return diffraction.debye_histogram(t.atoms, 0.5, "frame")
+
+
+def debye_pattern(spark, d):
+    t = project_embeddings(spark, d)
+    return _rounded(diffraction.debye_patterns(t.atoms, [0.5, 1.0, 2.0, 4.0], 0.05, "frame"), 6)
+
+
+def _edges(spark, d, cutoff: float = 1.8):
+    near = neighbor_pairs(project_embeddings(spark, d), cutoff)
+    return near.select("frame", F.col("i").alias("src"), F.col("j").alias("dst"))
+
+
+def ring_counts(spark, d):
+    return carbon.ring_counts(carbon.frame_rings(_edges(spark, d), 8)).select("frame", F.col("ring_size").cast("long").alias("ring_size"), "n")
+
+
+def rings(spark, d):
+    found = carbon.frame_rings(_edges(spark, d), 4)
+    return found.select("frame", F.array_join("ring", ",").alias("ring"))
+
+
+def graphene_calibration(spark, d):
+    return _rounded(diffraction.calibrate_graphene_diffraction((8, 10, 15), pair_bin_width_A=0.01, spark=spark)["fragments"], 6)
+
+
+def crystallite_sizes_summary(spark, d):
+    """Sizes from the part prices: bins and shares."""
+    sizes = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_retailprice") / 100.0).cast("double").alias("size_A"))
+    return _rounded(diffraction.summarize_crystallite_size_distribution(sizes)["curve"])
+
+
+def diffraction_peak_fit(spark, d):
+    """A peak of each label's embeddings: curves made from their first components, fitted side by side."""
+    shapes = spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.avg(F.abs(F.get("embedding", F.lit(0)))).alias("m"))
+    q = spark.range(300).select((2.3 + F.col("id") * 0.005).alias("q"))
+    z = (F.col("q") - 2.95) / (0.08 + F.col("m") / 10)
+    curves = shapes.crossJoin(F.broadcast(q)).select(F.col("label").cast("string").alias("curve_id"), "q", (5 / (1 + z * z) + 1).alias("intensity"))
+    return _rounded(diffraction.fit_peaks(curves), 3)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         atoms_projection, species_counts, frame_cells, min_image_pairs, rdf_counts, rdf_partial, rdf_directed_pairs, spectral_coefficients, spectral_rdf, system_metadata,
         coordination_distribution, coordination_summary, bond_angles, rad_contacts, rad_coordination, rad_environments, speciation_distribution, occupancy, lifetimes,
         distance_clusters, distance_clusters_counted, shared_neighbor_sharing, shared_neighbor_clusters, percolation_frame_summary, percolation_summary, percolation_clusters,
-        partial_structure_factors, partial_structure_factors_al, scattering_weights, scattering_neutron, scattering_xray, shared_parts_network, event_runs,
+        partial_structure_factors, partial_structure_factors_al, scattering_weights, scattering_neutron, scattering_xray, bessel_transform, debye_histogram, debye_pattern, ring_counts, rings, graphene_calibration, crystallite_sizes_summary, diffraction_peak_fit,
+        shared_parts_network, event_runs,
     )
 }
 
@@ -416,6 +472,19 @@ ORACLES = {
     "scattering_weights": f'WITH {_scattering_cte("faber-ziman")}, {_weights_cte("xray")} SELECT q AS "Q", label, round(w, 7) AS value FROM weight',
     "scattering_neutron": f"""WITH {_scattering_cte("faber-ziman")}, {_weights_cte("neutron")}, c AS (SELECT part.q, part.label, (value - base) * w AS v FROM part JOIN weight ON weight.q = part.q AND weight.label = part.label)
       SELECT q AS "Q", label, round(v, 6) AS value FROM c UNION ALL SELECT q, 'Total', round(1 + sum(v), 6) FROM c GROUP BY q""",
+    "bessel_transform": f"""WITH {_rdf_cte(bin_edges(0.0, 8.0, 100, None))}, y AS (SELECT CAST(k AS DOUBLE) AS y FROM range(1, 21) t(k))
+      SELECT y, label, round(sum(CASE WHEN place IN (0, 99) THEN 0.04 ELSE 0.08 END::DOUBLE * r * r * (value - 1) * sin(r * y) / (r * y)), 5) AS value FROM g JOIN grid USING (r) CROSS JOIN y WHERE left(label, 1) <= right(label, 1) GROUP BY y, label""",
+    "debye_histogram": f"""WITH {_ATOMS} SELECT a.frame, CAST(floor(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) / 0.5) AS BIGINT) AS place, count(*) AS n
+      FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom < b.atom GROUP BY ALL""",
+    "rings": f"""WITH {_pairs(1.8)}, e AS (SELECT frame, i, j FROM pairs)
+      SELECT a.frame, concat_ws(',', a.i, a.j, b.j) AS ring FROM e a JOIN e b ON b.frame = a.frame AND b.i = a.j JOIN e c ON c.frame = a.frame AND c.i = b.j AND c.j = a.i WHERE a.i < a.j AND a.j < b.j
+      UNION ALL
+      SELECT a.frame, concat_ws(',', a.i, a.j, b.j, c.j) FROM e a JOIN e b ON b.frame = a.frame AND b.i = a.j JOIN e c ON c.frame = a.frame AND c.i = b.j JOIN e d ON d.frame = a.frame AND d.i = c.j AND d.j = a.i
+      WHERE a.i < a.j AND a.i < b.j AND a.i < c.j AND a.j < c.j AND a.j <> b.j AND b.j <> c.j
+        AND NOT EXISTS (SELECT 1 FROM e x WHERE x.frame = a.frame AND x.i = a.i AND x.j = b.j) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.frame = a.frame AND x.i = a.j AND x.j = c.j)
+        AND EXISTS (SELECT 1 FROM (VALUES (a.i, a.j), (a.j, b.j), (b.j, c.j), (c.j, a.i)) s(u, v) WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON y.frame = x.frame AND y.i = x.j WHERE x.frame = a.frame AND x.i = s.u AND y.j = s.v))""",
+    "crystallite_sizes_summary": """WITH s AS (SELECT CAST(p_retailprice / 100.0 AS DOUBLE) AS z FROM part), b AS (SELECT floor(z) AS k, count(*) AS n, sum(power(z, 2.5)) AS w FROM s GROUP BY 1)
+      SELECT k + 0.5 AS "size_A", n, round(n / sum(n) OVER (), 9) AS number_probability, round(w / sum(w) OVER (), 9) AS intensity_probability FROM b""",
     "shared_parts_network": """WITH b AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS g FROM lineitem), l AS (SELECT x.c, y.c AS c2, count(*) AS shared FROM b x JOIN b y ON x.g = y.g AND x.c < y.c GROUP BY ALL)
       SELECT shared, count(*) AS links, CASE WHEN shared = 1 THEN 'corner' WHEN shared = 2 THEN 'edge' ELSE 'face' END AS sharing_type FROM l GROUP BY shared""",
     "event_runs": """WITH e AS (SELECT DISTINCT user_id, event_type, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day FROM events),
