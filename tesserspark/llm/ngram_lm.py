@@ -328,7 +328,9 @@ def _shard(totals: dict[int, int], kappa: float):
         for i, block in enumerate(blocks):
             kinds.append(0)
             out_blocks.append(block)
-            out.append(_pack(*(x[int(base[i]) : int(base[i + 1])] for x in sums)))
+            of = slice(int(base[i]), int(base[i + 1]))
+            some = np.flatnonzero(sums[2][of])  # a document with few words meets few of many shards
+            out.append(_pack(some.astype(np.uint16), *(x[of][some] for x in sums)))
             if missed[i]:
                 kinds.append(2)
                 out_blocks.append(block)
@@ -372,15 +374,15 @@ def _finished(end_count: int):
     """Sums of a block over its shards, by document."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        total, keys, sizes, flags = None, None, None, None
-        for kind, data in zip(table["kind"].to_pylist(), table["data"].to_pylist()):
-            if kind == 1:
-                packed, sizes, flags = _unpack(data, np.uint8, np.int64, np.uint8)
-                keys = pa.ipc.open_stream(packed.tobytes()).read_all()["k"]
-            else:
-                one = np.array(_unpack(data, np.float64, np.float64, np.float64))
-                total = one if total is None else total + one
+        kinds = table["kind"].to_pylist()
+        packed, sizes, flags = _unpack(table["data"][kinds.index(1)].as_py(), np.uint8, np.int64, np.uint8)
+        keys = pa.ipc.open_stream(packed.tobytes()).read_all()["k"]
         n = len(sizes)
+        total = np.zeros((3, n))
+        for kind, data in zip(kinds, table["data"]):
+            if kind == 0:
+                some, *values = _unpack(data.as_py(), np.uint16, np.float64, np.float64, np.float64)
+                total[:, some] += values
         block = key[0].as_py()
         ends = np.log10(end_count + 1.0)
         return pa.table(
