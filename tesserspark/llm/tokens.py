@@ -133,7 +133,16 @@ def count_tokens(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, hea
     """
     spark = docs.sparkSession
     all_pieces = materialize(vocabulary(docs, name), "vocabulary")
-    common = all_pieces.orderBy(F.col("n").desc(), "pre").limit(head).select("pre", "pieces").toPandas()
+    # whole classes of frequency, from the top, as long as they have ``head`` members at most: no task sends more than its share of those
+    rank = F.floor(F.log2("n") * 16)
+    classes = sorted(((r["rank"], r["members"]) for r in all_pieces.groupBy(rank.alias("rank")).agg(F.count(F.lit(1)).alias("members")).collect()), reverse=True)  # 16 for each power of two
+    members, least = 0, None
+    for r, m in classes:
+        members += m
+        if members > head:
+            break
+        least = r
+    common = all_pieces.where(rank >= least if least is not None else F.lit(False)).select("pre", "pieces").toPandas()
     shared = spark.sparkContext.broadcast(dict(zip(common["pre"], common["pieces"].tolist())))
     rows = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
     schema = rows.drop("text").schema.add("pre", "string").add("n", "long").add("bytes", "long")
