@@ -205,14 +205,27 @@ def honeycomb(n):
 def test_periodic_sheet_is_one_domain_without_a_size():
     x, cell, near = honeycomb(5)
     r = carbon.analyze_graphenic_structure(x, cell, near)
-    assert r["ring_counts"] == [{"ring_size": 6, "n": 25}]
+    assert r["ring_counts"] == {6: 25}
     first = r["crystallites"][0]
-    assert first["n_rings"] == 25 and first["wraps"] and first["diameter_A"] is None and first["orientation_order"] > 0.999
+    assert first["ring_count"] == 25 and first["wrap_a"] and first["wrap_b"] and not first["wrap_c"] and first["sqrt_area_size_A"] is None and first["normal_nematic_order"] > 0.999
     assert abs(first["area_A2"] - 25 * 1.42**2 * 1.5 * math.sqrt(3)) < 1e-6
     with pytest.raises(carbon.GraphenicAnalysisError):
         carbon.shortest_path_ring_cycles(near, max_search_states=10)
 
 
+def test_a_chain_of_rings_is_cut_at_its_inner_rings():
+    x, cell, near = honeycomb(8)
+    rings = [r for r in carbon.shortest_path_ring_cycles(near)]
+    centre = rings[20]
+    patch = [r for r in rings if len(set(r) & set(centre)) >= 2]
+    r = carbon.analyze_graphenic_structure(x, cell, near, ring_cycles=patch)
+    one = r["crystallites"][0]
+    assert len(patch) == 7 and one["ring_count"] == 7 and one["atom_count"] == 24 and not one["periodic"]
+    assert abs(one["area_A2"] - 7 * 1.42**2 * 1.5 * math.sqrt(3)) < 1e-6 and one["thickness_A"] < 1e-9
+    # without its centre the ring of six has only rings that join two others: none is left
+    assert carbon.analyze_graphenic_structure(x, cell, near, ring_cycles=[p for p in patch if p != centre])["crystallites"] == []
+
+
 def test_minimum_image_with_partial_periodicity():
     cell = np.array([[10.0, 0, 0], [9.0, 2.0, 0], [0, 0, 10.0]])
     rng = np.random.default_rng(0)
