@@ -37,6 +37,10 @@ def check_variant(name: str) -> None:
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
+    """Ranks each center's neighbors; partitions of a given number are not coalesced by size, as the work is in the pairs of neighbors."""
+    spark = pairs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pairs = pairs.repartition(parts, "frame", "i")
     order = Window.partitionBy("frame", "i").orderBy("d2", "j")
     return pairs.where("d2 > 1e-16").withColumn("rank", F.row_number().over(order))
 
