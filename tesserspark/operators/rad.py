@@ -41,8 +41,9 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     spark = pairs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pairs = pairs.repartition(parts, "frame", "i")
-    order = Window.partitionBy("frame", "i").orderBy("d2", "j")
-    return pairs.where("d2 > 1e-16").withColumn("rank", F.row_number().over(order))
+    # coincident atoms come last and go after the ranking: a second filter pushed into the pair join would make its method too long to be compiled
+    order = Window.partitionBy("frame", "i").orderBy(F.col("d2") <= 1e-16, "d2", "j")
+    return pairs.withColumn("rank", F.row_number().over(order)).where("d2 > 1e-16")
 
 
 def _ends(ranked: DataFrame, nearest: int) -> DataFrame:
