@@ -1,5 +1,8 @@
 """From raw documents to shards: quality rules, near-duplicates, decontamination, mixing, sharding.
 
+Near-duplicates go in two steps: those by fingerprint in a stage of their own, and before mixing
+those of five-word shingles with a similarity of 0.8 or more, which fingerprints hardly find.
+
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again
 as the documents of the next.  All but the last return the columns of documents.
 """
@@ -8,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserspark.llm import decontamination, mixing, quality, sharding, simhash
+from tesserspark.llm import decontamination, mixing, near_copies, quality, sharding, simhash
 from tesserspark.llm.common import materialize, table
 
 
@@ -25,7 +28,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(docs)
+    return mixing.mixed_documents(near_copies.one_of_each(docs))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +39,7 @@ STAGES = [
     ("quality rules", quality_stage),
     ("simhash near-duplicates", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
-    ("mixing to target weights", mixing_stage),
+    ("near copies, mixing to target weights", mixing_stage),
     ("sharding", sharding_stage),
 ]
 

@@ -216,17 +216,16 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _classed(docs: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(key, mark, fp of every row; fp, first (key, mark) of its component)."""
-    rows = materialize(fingerprints(docs), "fingerprints")
+def headed(rows: DataFrame, edges: DataFrame | None = None, hot: int = HOT) -> DataFrame:
+    """(cfp, head): first (key, mark) of the component of each fp of ``rows``, by ``edges`` or else by links of fingerprints."""
     # rows without a key come last, so they stand for a component only if no row has one
     first = F.min(F.struct(F.col("key").isNull().alias("void"), "key", "mark"))
     classes = materialize(rows.groupBy("fp").agg(first.alias("first")), "classes")
-    roots = components(links(classes.select("fp"), hot))
+    roots = components(links(classes.select("fp"), hot) if edges is None else edges)
     member = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     member = materialize(member, "members")
     heads = member.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("head"))
-    return rows, member.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "head")
+    return member.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "head")
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -236,17 +235,23 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     own equal result; a component of rows without doc_id has a null component_id; an empty table
     gives no rows; other columns are ignored.
     """
-    rows, heads = _classed(docs, hot)
+    rows = materialize(fingerprints(docs), "fingerprints")
+    heads = headed(rows, hot=hot)
     return rows.join(heads, F.col("fp") == F.col("cfp")).select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head")["key"].alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, hot: int = HOT, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row of each component, that of the least doc_id, with all columns.
+    """One row of each component, that of the least doc_id, with all columns."""
+    rows = materialize(fingerprints(docs), "fingerprints")
+    return keep_heads(docs, rows, headed(rows, hot=hot), broadcast_rows)
+
+
+def keep_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The first row of each component, with all columns.
 
     The rows that go, and the few keys that stand on several rows, are counted; up to
     ``broadcast_rows`` they are broadcast and the texts stay where they are, beyond they are shuffled.
     """
-    rows, heads = _classed(docs, hot)
     columns = docs.columns
     keyed = rows.groupBy("key", "mark", "fp").agg(F.count(F.lit(1)).alias("n")).join(heads, F.col("fp") == F.col("cfp"))
     head = (F.col("key").eqNullSafe(F.col("head")["key"])) & (F.col("mark") == F.col("head")["mark"])
