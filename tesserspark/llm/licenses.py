@@ -4,7 +4,8 @@ A paragraph (line) is scored by a multinomial logistic regression over word uni-
 model is sparse: only n-grams with an anchor word (one that licence notices share and prose lacks)
 have weights, so a paragraph without anchors is unknown and is never split further.  Temperature
 scaling on held-out notices calibrates the probabilities.  A family is confirmed if enough of the
-paragraph's words stand in one of the family's templates.  The model is fitted from the templates
+paragraph's words stand in one of the family's templates, or enough of a template in the paragraph,
+whatever else it holds.  The model is fitted from the templates
 below on the driver; over documents there are DataFrame functions only.
 """
 
@@ -26,38 +27,63 @@ TEMPLATES = {
     "mit": [
         "released under the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     ],
     "apache": [
         "licensed under the apache license version 2 0",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     ],
     "gpl": [
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses",
     ],
     "lgpl": [
         "licensed under the gnu lesser general public license version 2 1",
         "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+        "you should have received a copy of the gnu lesser general public license along with this library if not see https www gnu org licenses",
     ],
     "bsd": [
         "released under the bsd 3 clause license",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     ],
     "mpl": [
         "licensed under the mozilla public license version 2 0",
         "this source code form is subject to the terms of the mozilla public license v 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
     ],
-    "cc-by": ["licensed under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
-    "cc-by-sa": ["licensed under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
-    "cc-by-nc": ["licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
+    "cc-by": ["licensed under cc by 4 0", "available under cc by 4 0", "this work is licensed under a creative commons attribution 4 0 international license"],
+    "cc-by-sa": ["licensed under cc by sa 4 0", "available under cc by sa 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"],
+    "cc-by-nc": ["licensed under cc by nc 4 0", "available under cc by nc 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"],
     "cc0": ["released under cc0 1 0 universal", "to the extent possible under law the author has waived all copyright and related rights to this work public domain dedication"],
+    "agpl": [
+        "licensed under the gnu affero general public license version 3",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    ],
+    "isc": [
+        "released under the isc license",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    ],
+    "unlicense": ["released under the unlicense", "this is free and unencumbered software released into the public domain"],
+    "cc-by-nd": ["licensed under cc by nd 4 0", "available under cc by nd 4 0", "this work is licensed under a creative commons attribution noderivatives 4 0 international license"],
+    "cc-by-nc-sa": ["licensed under cc by nc sa 4 0", "available under cc by nc sa 4 0", "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license"],
+    "cc-by-nc-nd": ["licensed under cc by nc nd 4 0", "available under cc by nc nd 4 0", "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license"],
     "proprietary": ["copyright all rights reserved", "this document is proprietary and confidential no part may be reproduced without prior written permission of the copyright owner"],
 }
 #: Words that licence notices share and prose lacks.
-ANCHORS = """apache attribution bsd cc cc0 clause commons copyright creative gnu gpl lesser lgpl library license licensed licence licenced mit mozilla mpl
- nc noncommercial permission permitted proprietary redistribute redistribution reproduced reserved rights sa sharealike software unlicense waived warranty""".split()
+ANCHORS = """affero apache attribution bsd cc cc0 clause commons copyright creative gnu gpl lesser lgpl library license licensed licence licenced mit mozilla mpl nd
+ nc noderivatives noncommercial permission permitted proprietary redistribute redistribution redistributions reproduced reserved rights sa sharealike software unlicense waived warranty""".split()
 #: Anchors that are also words of other languages: alone they do not make a paragraph worth scoring.
-WEAK = ("sa", "nc")
+WEAK = ("sa", "nc", "nd")
 #: Sentences with such words that name no licence.
 OTHERS = [
     "the driver lost his license in the accident",
@@ -154,12 +180,22 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def classify(lines: DataFrame, model: LicenceModel | None = None, least: float = 0.5, share: float = 0.5) -> DataFrame:
+def _pairs(notice: str) -> list[str]:
+    w = notice.split()
+    return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
+
+
+def _pairs_held(notice: str) -> Column:
+    """How many pairs of the notice stand in the paragraph."""
+    return F.size(F.array_intersect(_grams(F.col("words")), F.array(*[F.lit(x) for x in _pairs(notice)])))
+
+
+def classify(lines: DataFrame, model: LicenceModel | None = None, least: float = 0.5, share: float = 0.5, part: float = 0.6) -> DataFrame:
     """Adds family, probability and confirmed to rows (key, mark, place, words).
 
     The family is the likeliest class, ``unknown`` if its probability is under ``least``.  It is
     confirmed if at least ``share`` of the paragraph's distinct words are words of one template of the
-    family.
+    family, or at least ``part`` of a template's pairs of neighboring words stand in the paragraph.
     """
     model = model or default_model()
     spark = lines.sparkSession
@@ -173,12 +209,14 @@ def classify(lines: DataFrame, model: LicenceModel | None = None, least: float =
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
     best = F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position("z", F.col("top")).cast("int"))
     named = with_z.select(*by, best.alias("best"), (1 / total).alias("probability"))
-    held = F.lit(0.0)
+    held = found = F.lit(0.0)
     for family, notices in TEMPLATES.items():
         inside = [F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in sorted(set(n.split()))]))) / F.size(F.array_distinct("words")) for n in notices]
+        whole = [_pairs_held(n) / len(_pairs(n)) for n in notices]
         held = F.when(F.col("best") == family, F.greatest(*inside)).otherwise(held)
+        found = F.when(F.col("best") == family, F.greatest(*whole)).otherwise(found)
     family = F.when(F.col("probability") >= least, F.col("best")).otherwise(UNKNOWN)
-    return named.select(*by, family.alias("family"), "probability", ((family != UNKNOWN) & (held >= share)).alias("confirmed"))
+    return named.select(*by, family.alias("family"), "probability", ((family != UNKNOWN) & ((held >= share) | (found >= part))).alias("confirmed"))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
