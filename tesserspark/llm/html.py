@@ -24,11 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Elements by their role in the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object select textarea title head button canvas video audio option datalist".split())
+RAW = frozenset("script style textarea title".split())  # their content is no markup: without an end tag they take the rest of the page
+HIDDEN = frozenset("noscript template iframe canvas video audio".split())  # left out up to the matching end tag; without one the tag alone is
+INLINE = frozenset("svg select button option datalist".split())  # left out, but they end at any block boundary
 BLOCK = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary dialog hgroup center menu caption".split())
 #: A start tag closes these if they are open, up to the nearest of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z!?/][^>]*+\Z", re.S)
+_INLINE_END = re.compile(rf"</?({'|'.join(sorted(BLOCK | INLINE))})(?![^\s/>])[^>]*>", re.I)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -56,11 +59,34 @@ def _names(attributes: str) -> tuple[tuple[str, ...], str | None]:
     return tuple(dict.fromkeys(names)), label
 
 
-def parse(page: str) -> Node:
-    """The tree of block elements and runs.  Raw elements (scripts, forms' controls, head) leave nothing."""
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where the content of each element of this tag begins and its end tag ends, nested ones matched; unclosed ones are not listed."""
+    found, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?![^\s/>])[^>]*>", page, re.I):
+        if not m[1]:
+            opened.append(m.end())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
+def _inline_end(page: str, tag: str, at: int) -> int:
+    """End of a control or drawing: after its end tag, or before the first block boundary or further start of its tag; no end at all leaves out the tag alone."""
+    for m in _INLINE_END.finditer(page, at):
+        other = m[1].lower()
+        if other == tag:
+            return m.start() if m[0][1] != "/" else m.end()
+        if other in BLOCK:
+            return m.start()
+    return at
+
+
+def parse(page: str, labelled: bool = False) -> Node:
+    """The tree of block elements and runs.  Scripts, forms' controls and the like leave nothing; ``labelled`` pages are read with their labels."""
     root = Node("root")
     stack, anchors, run = [root], 0, None
     at, end = 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
 
     def add(text: str) -> None:
         nonlocal run
@@ -104,6 +130,14 @@ def parse(page: str) -> Node:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if tag in HIDDEN and not attributes.endswith("/"):
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            at = ends[tag].get(at, at)
+            continue
+        if tag in INLINE and not attributes.endswith("/"):
+            at = _inline_end(page, tag, at)
+            continue
         if tag in VOID:
             if tag in ("br", "hr"):
                 add(" ") if run is not None else None
@@ -124,7 +158,7 @@ def parse(page: str) -> Node:
                     close(k)
                     break
         names, label = _names(attributes) if attributes else ((), None)
-        node = Node(tag, names, label=None if label is None else int(label))
+        node = Node(tag, names, label=int(label) if labelled and label is not None else None)
         stack[-1].children.append(node)
         run = None
         if not attributes.endswith("/"):
@@ -217,7 +251,7 @@ def train(pages: list[str], alpha: float = 1.0) -> Model:
     pairs: dict = defaultdict(lambda: [[alpha, alpha], [alpha, alpha]])
     roots = [0, 0]
     for page in pages:
-        nodes, parents = walk(parse(page))
+        nodes, parents = walk(parse(page, True))
         labels = _labelled(nodes, parents)
         roots[labels[0]] += 1
         for k, (x, p, y) in enumerate(zip(nodes, parents, labels)):
