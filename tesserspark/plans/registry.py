@@ -230,8 +230,13 @@ def rings(spark, d):
     return found.select("frame", F.array_join("ring", ",").alias("ring"))
 
 
+def rings_to_eight(spark, d):
+    """Rings up to the operator's own size; the SQL of ``rings`` ends at four."""
+    return carbon.frame_rings(_edges(spark, d)).select("frame", F.array_join("ring", ",").alias("ring"))
+
+
 def graphene_calibration(spark, d):
-    return _rounded(diffraction.calibrate_graphene_diffraction((8, 10, 15), pair_bin_width_A=0.01, spark=spark)["fragments"], 6)
+    return _rounded(diffraction.calibrate_graphene_diffraction(spark=spark)["fragments"], 6)
 
 
 def crystallite_sizes_summary(spark, d):
@@ -255,7 +260,7 @@ QUERIES = {
         atoms_projection, species_counts, frame_cells, min_image_pairs, rdf_counts, rdf_partial, rdf_directed_pairs, spectral_coefficients, spectral_rdf, system_metadata,
         coordination_distribution, coordination_summary, bond_angles, rad_contacts, rad_coordination, rad_environments, speciation_distribution, occupancy, lifetimes,
         distance_clusters, distance_clusters_counted, shared_neighbor_sharing, shared_neighbor_clusters, percolation_frame_summary, percolation_summary, percolation_clusters,
-        partial_structure_factors, partial_structure_factors_al, scattering_weights, scattering_neutron, scattering_xray, bessel_transform, debye_histogram, debye_pattern, ring_counts, rings, graphene_calibration, crystallite_sizes_summary, diffraction_peak_fit,
+        partial_structure_factors, partial_structure_factors_al, scattering_weights, scattering_neutron, scattering_xray, bessel_transform, debye_histogram, debye_pattern, ring_counts, rings, rings_to_eight, graphene_calibration, crystallite_sizes_summary, diffraction_peak_fit,
         shared_parts_network, event_runs,
     )
 }
