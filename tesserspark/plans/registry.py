@@ -391,11 +391,11 @@ links AS (SELECT a.frame, a.c AS l, b.c AS r, count(*) AS shared FROM bonds a JO
 def _scattering_cte(convention: str) -> str:
     edges = bin_edges(0.0, 8.0, 100, None)
     r = 0.5 * (edges[:-1] + edges[1:])
-    q = scattering.q_grid(scattering.repaired_grid(r), (0.5, 10.0), None)
+    q = scattering.q_points(scattering.even_grid(r), (0.5, 10.0), None)
     points = ", ".join(f"({float(x)!r}::DOUBLE)" for x in q)
     from tesserspark.functions.transforms import quadrature_weights
 
-    weights = ", ".join(f"({k}, {float(w)!r}::DOUBLE)" for k, w in enumerate(quadrature_weights(scattering.repaired_grid(r))))
+    weights = ", ".join(f"({k}, {float(w)!r}::DOUBLE)" for k, w in enumerate(quadrature_weights(scattering.even_grid(r))))
     scale, base = ("1.0", "1.0") if convention == "faber-ziman" else ("sqrt(ca.c * cb.c)", "CASE WHEN a = b THEN 1.0 ELSE 0.0 END")
     return f"""{_rdf_cte(edges)}, qs(q) AS (VALUES {points}), w(place, w) AS (VALUES {weights}),
 conc AS (SELECT species, count(*) / sum(count(*)) OVER () AS c FROM atoms WHERE frame = 0 GROUP BY species),
