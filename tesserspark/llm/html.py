@@ -2,8 +2,8 @@
 
 The nodes are a page's block elements and, as leaves, the runs of inline content between block
 boundaries; each is content or boilerplate.  A node's own potential comes from its tag, the words of
-its class, id and role, and for a run its length, link share, punctuation and parent; an edge's
-potential from how labels of parent and child go together.  Both are smoothed counts over labelled
+its class, id and role, and for a run its length, link share and punctuation taken together, its parent
+and a copyright sign; an edge's potential from how labels of parent and child go together.  Both are smoothed counts over labelled
 pages.  Sum-product messages, up to the root and down again, give each run's marginal; runs of 1/2 or
 more are the main text.
 """
@@ -28,6 +28,7 @@ RAW = frozenset("script style textarea title".split())  # their content is no ma
 HIDDEN = frozenset("noscript template iframe canvas video audio".split())  # left out up to the matching end tag; without one the tag alone is
 INLINE = frozenset("svg select button option datalist".split())  # left out, but they end at any block boundary
 BLOCK = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption form fieldset legend address details summary dialog hgroup center menu caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes these if they are open, up to the nearest of the stops.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>|<[a-zA-Z!?/][^>]*+\Z", re.S)
@@ -85,6 +86,7 @@ def parse(page: str, labelled: bool = False) -> Node:
     """The tree of block elements and runs.  Scripts, forms' controls and the like leave nothing; ``labelled`` pages are read with their labels."""
     root = Node("root")
     stack, anchors, run = [root], 0, None
+    places: dict[str, list[int]] = defaultdict(list)  # of each open tag, its places in the stack: no search, however deep the page
     at, end = 0, len(page)
     ends: dict[str, dict[int, int]] = {}
 
@@ -102,7 +104,8 @@ def parse(page: str, labelled: bool = False) -> Node:
     def close(k: int) -> None:
         nonlocal run
         run = None
-        del stack[k:]
+        while len(stack) > k:
+            places[stack.pop().tag].pop()
 
     while at < end:
         m = _TOKEN.search(page, at)
@@ -117,11 +120,9 @@ def parse(page: str, labelled: bool = False) -> Node:
             continue
         if m[1] or m[4]:  # an end tag
             if tag in BLOCK:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-                if k:
-                    close(k)
-                else:
-                    run = None
+                run = None
+                if places[tag]:
+                    close(places[tag][-1])
             elif tag == "a":
                 anchors = max(0, anchors - 1)
             continue
@@ -150,18 +151,15 @@ def parse(page: str, labelled: bool = False) -> Node:
         if any(n.tag == "p" for n in stack[-1:]):  # any block ends a paragraph
             close(len(stack) - 1)
         if tag in CLOSES:
-            these, stops = CLOSES[tag]
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in stops:
-                    break
-                if stack[k].tag in these:
-                    close(k)
-                    break
+            these, stops = (max((places[t][-1] for t in tags if places[t]), default=0) for tags in CLOSES[tag])
+            if these > stops:
+                close(these)
         names, label = _names(attributes) if attributes else ((), None)
         node = Node(tag, names, label=int(label) if labelled and label is not None else None)
         stack[-1].children.append(node)
         run = None
         if not attributes.endswith("/"):
+            places[tag].append(len(stack))
             stack.append(node)
     return root
 
@@ -179,10 +177,14 @@ def features(node: Node, parent: Node | None, place: int) -> list[str]:
     share = node.linked / max(1, sum(map(len, node.text)))
     links = 0 if not node.linked else 1 if share < 0.25 else 2 if share < 0.7 else 3
     stop = text[-1:] in ".!?…”\"'»:;" if text else False
-    out = [f"size={size}", f"links={links}", f"stop={int(stop)}", "in=" + (parent.tag if parent else ""), f"sl={size},{links},{int(stop)}"]
-    if "\N{COPYRIGHT SIGN}" in text[:200] or "\N{COPYRIGHT SIGN}" in text[-200:]:
-        out.append("copyright")
-    return out
+    sign = "" if "\N{COPYRIGHT SIGN}" not in text else "first" if text[0] == "\N{COPYRIGHT SIGN}" else "later"
+    # joint features: parts that go together would count twice if each had a potential of its own
+    return [f"run={size},{links},{int(stop)}", f"in={parent.tag if parent else ''},{min(size, 3)},{links}", f"sign={sign},{min(size, 5)}"]
+
+
+def kind(node: Node) -> str:
+    """Of what sort a child is: headings go with their parent's label far more often than other elements."""
+    return "run" if node.tag == "#run" else "heading" if node.tag in HEADINGS else "block"
 
 
 def walk(root: Node) -> tuple[list[Node], list[int]]:
@@ -202,7 +204,7 @@ class Model:
     """Log potentials: of each feature, content minus boilerplate; of each edge by (parent's label, child's label)."""
 
     feature: dict[str, float]
-    edge: dict[bool, list[list[float]]]  # by whether the child is a run
+    edge: dict[str, list[list[float]]]  # by the child's kind
     prior: float
 
     def marginals(self, nodes: list[Node], parents: list[int]) -> list[float]:
@@ -213,14 +215,14 @@ class Model:
         one[0] += self.prior
         up0, up1 = [0.0] * n, [0.0] * n
         for k in range(n - 1, 0, -1):
-            e = self.edge[nodes[k].tag == "#run"]
+            e = self.edge[kind(nodes[k])]
             up0[k], up1[k] = _add(zero[k] + e[0][0], one[k] + e[0][1]), _add(zero[k] + e[1][0], one[k] + e[1][1])
             p = parents[k]
             zero[p] += up0[k]
             one[p] += up1[k]
         for k in range(1, n):
             p = parents[k]
-            e = self.edge[nodes[k].tag == "#run"]
+            e = self.edge[kind(nodes[k])]
             rest0, rest1 = zero[p] - up0[k], one[p] - up1[k]
             top = max(rest0, rest1)  # only the ratio counts
             rest0, rest1 = rest0 - top, rest1 - top
@@ -248,7 +250,7 @@ def train(pages: list[str], alpha: float = 1.0) -> Model:
     """From pages whose elements carry ``data-label`` 0 or 1; what lies below inherits it."""
     seen = {False: (Counter(), Counter()), True: (Counter(), Counter())}  # elements, runs
     total = {False: [0, 0], True: [0, 0]}
-    pairs: dict = defaultdict(lambda: [[alpha, alpha], [alpha, alpha]])
+    pairs = {k: [[alpha, alpha], [alpha, alpha]] for k in ("run", "heading", "block")}
     roots = [0, 0]
     for page in pages:
         nodes, parents = walk(parse(page, True))
@@ -259,7 +261,7 @@ def train(pages: list[str], alpha: float = 1.0) -> Model:
             total[is_run][y] += 1
             seen[is_run][y].update(set(features(x, nodes[p] if p >= 0 else None, k)))
             if p >= 0:
-                pairs[is_run][labels[p]][y] += 1
+                pairs[kind(x)][labels[p]][y] += 1
     feature = {}
     for is_run, (bad, good) in seen.items():
         for f in {*bad, *good}:
@@ -267,14 +269,11 @@ def train(pages: list[str], alpha: float = 1.0) -> Model:
                 feature[f] = math.log((good[f] + alpha) / (total[is_run][1] + 2 * alpha)) - math.log((bad[f] + alpha) / (total[is_run][0] + 2 * alpha))
     # the edge potential is the pointwise mutual part: the features already hold the child's own share
     edge = {}
-    for is_run in (False, True):
-        t = pairs[is_run]
+    for what, t in pairs.items():
         n = sum(map(sum, t))
         col = [(t[0][y] + t[1][y]) / n for y in (0, 1)]
-        edge[is_run] = [[math.log(t[x][y] / sum(t[x]) / col[y]) for y in (0, 1)] for x in (0, 1)]
-        share = math.log((total[is_run][1] + alpha) / (total[is_run][0] + alpha))
-        for x in (0, 1):
-            edge[is_run][x][1] += share
+        bad, good = total[what == "run"]
+        edge[what] = [[math.log(t[x][y] / sum(t[x]) / col[y]) + y * math.log((good + alpha) / (bad + alpha)) for y in (0, 1)] for x in (0, 1)]
     return Model(feature, edge, math.log((roots[1] + alpha) / (roots[0] + alpha)))
 
 
@@ -340,15 +339,19 @@ def training_pages(count: int = 600, seed: int = 7) -> list[str]:
     def paragraph() -> str:
         kind = rng.random()
         text = words(1, 4) if kind < 0.25 else words(5, 30) if kind < 0.6 else words(30, 140)
+        if rng.random() < 0.04:
+            text = rng.choice([f"{text} &copy; {words(1, 12)}", f"&copy; {words(4, 40)}", f"{words(3, 20)} &#169; {text}"])
         if rng.random() < 0.15:
             text += f' <a href="/x">{words(1, 4, False)}</a> {words(2, 20)}'
         if rng.random() < 0.1:
             text = f"<b>{text}<br>"
-        tag = "p" if rng.random() < 0.85 else rng.choice(["div", "blockquote", "h2", "h3", "pre"])
+        tag = "p" if rng.random() < 0.85 else rng.choice(["div", "blockquote", "h2", "h3", "h4", "pre"])
+        if tag[0] == "h":
+            text = words(1, 8, False)
         return f"<{tag}>{text}" + ("" if tag == "p" and rng.random() < 0.1 else f"</{tag}>")
 
     def article() -> str:
-        parts = [f"<h1>{words(2, 12, False)}</h1>"] if rng.random() < 0.85 else []
+        parts = [f"<h1>{words(1, 12, False)}</h1>"] if rng.random() < 0.85 else []
         for _ in range(rng.randint(1, 14)):
             parts.append(paragraph())
             if rng.random() < 0.06:
@@ -401,7 +404,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     Null and empty html give an empty text; text before or without any element counts as a page of
     one block; repeated rows each get their own equal result; an empty table gives no rows; other
-    columns are ignored.
+    columns are ignored.  A page of any length or depth is read whole, in time that grows with its
+    length; runs of equal chance are treated alike, and a chance of exactly 1/2 is content.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model or default_model())
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))

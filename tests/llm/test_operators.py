@@ -173,12 +173,12 @@ def test_html(spark):
 def test_html_marginals_equal_enumeration():
     import itertools
 
-    model = html.Model({"tag=p": 0.7, "tag=nav": -1.1, "size=3": 0.4}, {False: [[0.2, -0.5], [-0.3, 0.6]], True: [[0.1, -2.0], [-0.7, 0.5]]}, 0.3)
-    nodes, parents = html.walk(html.parse("<nav><p>a b c d</p></nav><p>e f g h</p>"))
+    model = html.Model({"tag=p": 0.7, "tag=nav": -1.1, "run=3,0,0": 0.4}, {"block": [[0.2, -0.5], [-0.3, 0.6]], "heading": [[0.3, -0.1], [-0.9, 0.8]], "run": [[0.1, -2.0], [-0.7, 0.5]]}, 0.3)
+    nodes, parents = html.walk(html.parse("<nav><p>a b c d</p></nav><h2>i</h2><p>e f g h</p>"))
     own = [sum(model.feature.get(f, 0) for f in html.features(x, nodes[p] if p >= 0 else None, k)) for k, (x, p) in enumerate(zip(nodes, parents))]
     total, ones = 0.0, np.zeros(len(nodes))
     for y in itertools.product((0, 1), repeat=len(nodes)):
-        s = model.prior * y[0] + sum(o for o, v in zip(own, y) if v) + sum(model.edge[nodes[k].tag == "#run"][y[parents[k]]][y[k]] for k in range(1, len(nodes)))
+        s = model.prior * y[0] + sum(o for o, v in zip(own, y) if v) + sum(model.edge[html.kind(nodes[k])][y[parents[k]]][y[k]] for k in range(1, len(nodes)))
         total += math.exp(s)
         ones += math.exp(s) * np.array(y)
     assert np.allclose(model.marginals(nodes, parents), ones / total)
