@@ -1,11 +1,16 @@
 """Toxicity by character n-grams scaled with naive Bayes log-count ratios (an NB-SVM's features, a logistic loss).
 
-A feature is the presence of a hashed character n-gram of the lower-cased text with white space
-runs made one space.  It is scaled by the log ratio of its smoothed document frequencies in the two
-classes; a logistic regression on the scaled features gives the score.  The model is fitted on the
-driver from a bounded sample of the labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``, least hash of
-doc_id first); classes are weighted back to their shares among all labelled rows, so scores are
-probabilities.  Scoring runs over all texts, whole, in Arrow batches.
+A feature is the presence of a hashed n-gram of code points in the lower-cased text, white space runs
+made one space.  It is scaled by the log ratio of its smoothed document frequencies in the two
+classes; a logistic regression on the scaled features gives the score.  Every n-gram in ``LEAST``
+documents or more counts whose ratio lies ``SURE`` standard errors or more from zero: a threshold,
+not a number of features.
+
+Learning takes a bounded sample of the labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN``, least hash of
+doc_id first), in two passes over the sample where its texts are: document frequencies, summed by
+ranges of hashes, and then the features present in each document.  Texts never reach the driver; it
+fits the weights to the present features.  Classes are weighted back to their shares among all
+labelled rows, so scores are probabilities.  Scoring runs over all texts, whole, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -18,13 +23,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-ORDERS, BITS, KEEP, MAX_TOXIC, MAX_CLEAN, THRESHOLD = (4, 6, 8), 22, 8_000, 3000, 4000, 0.3
+from tesserspark.llm.common import materialize
+
+ORDERS, BITS, LEAST, SURE, ALPHA, MAX_TOXIC, MAX_CLEAN, THRESHOLD = (4, 6, 8), 22, 3, 3.0, 1.0, 3000, 4000, 0.3
+#: Document frequencies are summed in this many ranges of hashes, one row each from a task.
+RANGES = 32
 _SPACE = regex.compile(r"\s+")
 
 
 def grams(text: str) -> np.ndarray:
     """Hashes of all n-grams of the text, repeats included."""
-    b = np.frombuffer((" " + _SPACE.sub(" ", text.lower()).strip() + " ").encode("utf-8", "replace"), np.uint8).astype(np.uint32) + np.uint32(1)
+    b = np.frombuffer((" " + _SPACE.sub(" ", text.lower()).strip() + " ").encode("utf-32-le", "replace"), np.uint32) + np.uint32(1)
     out, h = [], np.zeros(len(b), np.uint32)
     for k in range(max(ORDERS)):
         if len(b) <= k:
@@ -48,45 +57,69 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weights[found].sum(), -60, 60))))
 
 
-def fit(texts: list[str], toxic: np.ndarray, share: float, alpha: float = 1.0, l2: float = 1e-2, rounds: int = 120) -> Model:
-    """share: of toxic rows among all labelled ones.  With one class only, every text gets the share (clipped)."""
-    share = float(np.clip(share, 1e-3, 1 - 1e-3))
-    slot = np.full(1 << BITS, -1, np.int32)
-    if len(set(toxic.tolist())) < 2:
-        return Model(slot, np.zeros(0), float(np.log(share / (1 - share))))
-    df = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
-    for t, y in zip(texts, toxic):  # grams are made twice rather than held
-        df[int(y)][np.unique(grams(t))] += 1
-    n = [int((toxic == 0).sum()), int((toxic == 1).sum())]
-    enough = np.flatnonzero(df[0] + df[1] >= 3)
-    clean, bad = df[0][enough], df[1][enough]
-    ratio = np.log((bad + alpha) / (n[1] + 2 * alpha) / ((clean + alpha) / (n[0] + 2 * alpha)))
-    best = np.argsort(-np.abs(ratio) * np.sqrt(clean + bad), kind="stable")[:KEEP]
-    chosen, r = enough[best], ratio[best]
-    slot[chosen] = np.arange(len(chosen), dtype=np.int32)
-    del df, enough, clean, bad, ratio, best
-
-    def present(text: str) -> np.ndarray:
-        x = slot[grams(text)]
-        return np.unique(x[x >= 0])
-
-    found = [present(t) for t in texts]
-    ptr = np.concatenate(([0], np.cumsum([len(x) for x in found])))
-    idx = np.concatenate(found) if ptr[-1] else np.empty(0, np.int32)
-    doc = np.repeat(np.arange(len(texts)), np.diff(ptr))
+def log_ratios(clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int, least: int = LEAST, sure: float = SURE) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the features that count, their log-count ratios) from document frequencies in both classes."""
+    ratio = np.log((toxic + ALPHA) / (n_toxic + 2 * ALPHA)) - np.log((clean + ALPHA) / (n_clean + 2 * ALPHA))
+    error = np.sqrt(1 / (toxic + ALPHA) + 1 / (clean + ALPHA))
+    chosen = np.flatnonzero((clean + toxic >= least) & (np.abs(ratio) >= sure * error))
+    return chosen, ratio[chosen]
+
+
+def fit(present: list[np.ndarray], toxic: np.ndarray, ratios: np.ndarray, share: float, l2: float = 1e-2, rounds: int = 120) -> tuple[np.ndarray, float]:
+    """(weights, bias) from the distinct features present in each document; share: of toxic rows among all labelled ones."""
+    n = np.array([(toxic == 0).sum(), (toxic == 1).sum()])
+    idx = np.concatenate([*present, np.empty(0, np.int32)]).astype(np.int32)
+    doc = np.repeat(np.arange(len(present), dtype=np.int32), [len(x) for x in present])
     weight = np.where(toxic == 1, share / n[1], (1 - share) / n[0])
-    w, bias = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
+    w, bias = np.zeros(len(ratios)), float(np.log(share / (1 - share)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):  # Adam on the whole sample
-        z = bias + np.bincount(doc, (w * r)[idx], minlength=len(texts))
+        z = bias + np.bincount(doc, (w * ratios)[idx], minlength=len(present))
         e = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - toxic)
-        g = r * np.bincount(idx, e[doc], minlength=len(w)) + l2 * w
+        g = ratios * np.bincount(idx, e[doc], minlength=len(w)) + l2 * w
         gb = e.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         step = 0.02 / (1 + t / 60)
         w = w - step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         bias -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-9)
-    return Model(slot, w * r, float(bias))
+    return w * ratios, float(bias)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of a task's rows (toxic, text), packed by range of hashes: hashes, clean, toxic."""
+    df = np.zeros((2, 1 << BITS), np.uint32)
+    for batch in batches:
+        for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            df[y, np.unique(grams(text.as_py()))] += 1
+    seen = np.flatnonzero(df.any(axis=0)).astype(np.uint32)
+    for part, hashes in enumerate(np.split(seen, np.searchsorted(seen, np.arange(1, RANGES) << (BITS - RANGES.bit_length() + 1)))):
+        if len(hashes):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.concatenate([hashes, df[0, hashes], df[1, hashes]]).tobytes()], pa.binary())], names=["part", "counts"])
+
+
+def _chosen(n_clean: int, n_toxic: int):
+    """The features of a range of hashes that count, from the packed frequencies of all tasks."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, np.uint32).reshape(3, -1) for x in table["counts"].to_pylist()]
+        hashes, place = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+        clean, toxic = (np.bincount(place, np.concatenate([r[k] for r in rows])) for k in (1, 2))
+        chosen, ratio = log_ratios(clean, toxic, n_clean, n_toxic)
+        return pa.table({"hash": pa.array(hashes[chosen].astype(np.int64)), "ratio": pa.array(ratio)})
+
+    return run
+
+
+def _present(slot):
+    """Rows (key, toxic, text) to (key, toxic, places of the distinct features present, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = slot.value
+        for batch in batches:
+            found = [np.unique(x[x >= 0]).tobytes() for x in (of[grams(t.as_py())] for t in batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["key", "toxic", "found"])
+
+    return run
 
 
 def held_out(doc_id: Column) -> Column:
@@ -94,16 +127,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
-    """Fits on at most max_toxic + max_clean labelled rows that are not held out."""
+    """Fits on at most max_toxic + max_clean labelled rows that are not held out.  With one class only, every text gets its share (clipped)."""
     marked = labels.select(F.col("doc_id").alias("key"), F.col("toxic").cast("int").alias("toxic")).where(F.col("key").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("key")))
     marked = marked.groupBy("key").agg(F.max("toxic").alias("toxic"))
     counts = dict(marked.groupBy("toxic").count().collect())
+    share = float(np.clip(counts.get(1, 0) / max(1, sum(counts.values())), 1e-3, 1 - 1e-3))
+    slot = np.full(1 << BITS, -1, np.int32)
     pick = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("key"), "key").limit(most) for y, most in ((1, max_toxic), (0, max_clean))]
-    chosen = pick[0].union(pick[1])
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("key"))
-    sample = texts.groupBy("key", "toxic").agg(F.min("text").alias("text")).orderBy("key").toPandas()
-    total = max(1, sum(counts.values()))
-    return fit(sample["text"].tolist(), sample["toxic"].to_numpy(np.int64), counts.get(1, 0) / total)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(pick[0].union(pick[1])), F.col("doc_id") == F.col("key"))
+    sample = materialize(texts.groupBy("key", "toxic").agg(F.min("text").alias("text")), "labelled")  # rows that share an id count once
+    n = dict(sample.groupBy("toxic").count().collect())
+    if len(n) < 2:
+        return Model(slot, np.zeros(0), float(np.log(share / (1 - share))))
+    packed = sample.select("toxic", "text").mapInArrow(_frequencies, "part int, counts binary")
+    features = packed.groupBy("part").applyInArrow(_chosen(n[0], n[1]), "hash long, ratio double").orderBy("hash").toPandas()  # bounded by the sample, and by the hashes
+    slot[features["hash"].to_numpy()] = np.arange(len(features), dtype=np.int32)
+    shared = docs.sparkSession.sparkContext.broadcast(slot)
+    found = sample.select("key", "toxic", "text").mapInArrow(_present(shared), sample.drop("text").schema.add("found", "binary")).orderBy("key").toPandas()
+    weights, bias = fit([np.frombuffer(x, np.int32) for x in found["found"]], found["toxic"].to_numpy(np.int64), features["ratio"].to_numpy(), share)
+    return Model(slot, weights, bias)
 
 
 def _scored(model):
@@ -121,7 +163,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
     Null and blank texts get the score of a text without features.  Rows without doc_id, labels
     other than 0 and 1 and held-out rows teach nothing; a doc_id labelled twice counts as toxic if
-    either row says so.  Without labels of both classes every score is the toxic share, clipped.
+    either row says so, and the least of the texts of an id is learned from.  Without labels of both
+    classes every score is the toxic share, clipped.  Texts of any length are scored whole; equal
+    texts get equal scores; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
