@@ -1,24 +1,28 @@
 """Bigram language model in Elias-Fano tries.
 
-The model: a seen pair has probability c(a b) / (c(a) + k); an unseen one k / (c(a) + k) times the
-add-one unigram probability.  (Seen words are not taken out of the lower order, so the probabilities
-of a context sum to at most one.)  Contexts begin with a start mark and documents end with an end
-token.  Words are known by the 64-bit hash of their bytes.
-
-The trie is dealt over shards by context; a context that holds much of the corpus is dealt further by
-its successors.  Each shard keeps, in memory-mapped files of its task, three Elias-Fano levels: the
-contexts, the pointers to their successors, and the successors, as places in the shard's own
-vocabulary relative to their context.  Probabilities are 8-bit codes into a codebook.  A query finds
-its context, then searches the successor within the context's range.
+The model: P(b | a) = (c(a b) + k p(b)) / (c(a) + k), where p(b) = (c(b) + 1) / (N + V + 1) is the
+add-one unigram probability, so the probabilities after a context sum to one, the unknown word
+included.  Contexts begin with a start mark and documents end with an end token.  Words are known by
+the 64-bit hash of their bytes.
+
+The trie holds n-grams last word first, and is dealt over shards by that word; a word that holds much
+of the corpus is dealt further by its contexts.  So a shard has all that its words' tokens need: how
+often the word occurs, which contexts it follows, and, as each occurrence of a word is also once a
+context, what the next token's probability is divided by.  Each shard keeps in memory-mapped levels
+(anonymous maps: nothing lies on the machine's disk) Elias-Fano sequences of its words, of the
+pointers to their contexts, and of the contexts, as places in the shard's own vocabulary relative to
+their word; and 16-bit codes of the logarithms of p(b) and of c(a b) + k p(b).  A query finds its
+word, reads the two pointers, and searches the successor of its context within that range; only the
+chunks that a query falls into are decoded.
 
 Texts are read twice (word counts; pairs) and never shuffled: blocks of documents send each shard the
-pairs they hold, packed, once for training and query, and shards return sums per document.  What a
-pair that was never seen takes from the unigrams is joined by word.
+pairs they hold, packed, once for training and query, and shards return sums for the documents they
+met.  A block has its learning documents first, so one number tells which pairs teach.
 """
 
 from __future__ import annotations
 
-import tempfile
+import mmap
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -30,12 +34,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserspark.llm.common import materialize
 
-KAPPA, BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS, HOT_WORDS = 4.0, 1_000_000, 60_000, 4_000_000, 256
-#: A shard is built and queried in this many slices of its contexts, one after another, to hold less at once.
+KAPPA, BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS = 4.0, 1_000_000, 60_000, 4_000_000
+#: A word with more than this part of a shard's tokens is dealt over several shards; so there are at most HOT_PART words a shard.
+HOT_PART = 4
+#: A shard is built and queried in this many slices of its words, one after another, to hold less at once.
 SLICES = 8
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 #: No word has white space, so these are no words.
 START, END = _hash(b" start"), _hash(b" end")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,15 +50,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+def _mapped(a: np.ndarray) -> np.ndarray:
+    """A copy of the array in a memory map of its own."""
+    if not a.size:
+        return a
+    out = np.frombuffer(mmap.mmap(-1, a.nbytes), a.dtype).reshape(a.shape)
+    out[:] = a
+    return out
+
+
 class EliasFano:
-    """Non-decreasing integers in two memory-mapped files: low bytes, and high parts in unary.
+    """Non-decreasing integers in two memory maps: low bytes, and high parts in unary.
 
     The number of low bits is a whole number of bytes, so the unary part has at most 3 bits a value.
     """
 
     CHUNK = 4096
 
-    def __init__(self, values: np.ndarray, folder: str, name: str):
+    def __init__(self, values: np.ndarray):
         values = values.astype(np.uint64)
         self.n = n = len(values)
         top = int(values[-1]) if n else 0
@@ -63,21 +79,14 @@ class EliasFano:
         bits[ones] = n > 0
         self.samples = np.append(ones[:: self.CHUNK], len(bits))  # where each chunk begins
         low = values.view(np.uint8).reshape(n, 8)[:, : self.bytes] if n else np.zeros((0, self.bytes), np.uint8)
-        self.low = self._mapped(np.ascontiguousarray(low), f"{folder}/{name}.low")
-        self.high = self._mapped(np.packbits(bits, bitorder="little"), f"{folder}/{name}.high")
+        self.low = _mapped(np.ascontiguousarray(low))
+        self.high = _mapped(np.packbits(bits, bitorder="little"))
         self.first = values[:: self.CHUNK].copy()
 
-    @staticmethod
-    def _mapped(a: np.ndarray, path: str) -> np.ndarray:
-        if not a.size:
-            return a
-        a.tofile(path)
-        return np.memmap(path, a.dtype, "r", shape=a.shape)
-
     def chunk(self, k: int) -> np.ndarray:
         """Values k * CHUNK and on."""
         lo, hi = int(self.samples[k]), int(self.samples[k + 1])
-        bits = np.unpackbits(np.asarray(self.high[lo // 8 : hi // 8 + 1]), bitorder="little")[lo % 8 : lo % 8 + hi - lo]
+        bits = np.unpackbits(self.high[lo // 8 : hi // 8 + 1], bitorder="little")[lo % 8 : lo % 8 + hi - lo]
         at = np.flatnonzero(bits) + lo
         start = k * self.CHUNK
         part = np.zeros((len(at), 8), np.uint8)
@@ -86,83 +95,90 @@ class EliasFano:
         low = part.view(np.uint64).reshape(-1)
         return low | (high << np.uint64(8 * self.bytes)) if self.bytes < 8 else low
 
-    def values(self) -> np.ndarray:
-        return np.concatenate([self.chunk(k) for k in range(len(self.first))]) if self.n else np.zeros(0, np.uint64)
+    def _by_chunk(self, which: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Runs of an ascending sequence of chunk numbers."""
+        edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1], [True])))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            yield int(which[lo]), slice(lo, hi)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The values at ascending places."""
+        out = np.zeros(len(places), np.uint64)
+        for k, run in self._by_chunk(places // self.CHUNK) if len(places) else ():
+            out[run] = self.chunk(k)[places[run] - k * self.CHUNK]
+        return out
 
     def successor(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of ascending queries, over strictly ascending values: the place of the first value not below each, and whether it is equal."""
         place, equal = np.full(len(queries), self.n), np.zeros(len(queries), bool)
         if not self.n or not len(queries):
             return place, equal
-        which = np.maximum(np.searchsorted(self.first, queries, "right") - 1, 0)
-        edges = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1], [True])))
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            v, q = self.chunk(int(which[lo])), queries[lo:hi]
+        for k, run in self._by_chunk(np.maximum(np.searchsorted(self.first, queries, "right") - 1, 0)):
+            v, q = self.chunk(k), queries[run]
             p = np.searchsorted(v, q, "left")
-            place[lo:hi] = p + which[lo] * self.CHUNK
-            inside = p < len(v)
-            equal[lo:hi][inside] = v[p[inside]] == q[inside]
+            place[run] = p + k * self.CHUNK
+            equal[run] = v[np.minimum(p, len(v) - 1)] == q
         return place, equal
 
 
-def _codes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """8-bit codes and their codebook: the values themselves if 256 do, else even steps of the logarithm, so an error is at most 1/510 of its range."""
-    book = np.unique(values)
-    if len(book) > 256:
-        book = np.linspace(book[0], book[-1], 256)
-    if not len(book):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    mids = (book[1:] + book[:-1]) / 2
-    return np.searchsorted(mids, values).astype(np.uint8), book
+class Codes:
+    """Numbers as 16-bit codes in even steps between the least and the greatest: none is off by more than ``error``."""
+
+    TOP = (1 << 16) - 1
+
+    def __init__(self, values: np.ndarray):
+        self.low = float(values.min()) if len(values) else 0.0
+        self.step = (float(values.max()) - self.low) / self.TOP if len(values) else 0.0
+        self.codes = _mapped(np.rint((values - self.low) / self.step).astype(np.uint16) if self.step > 0 else np.zeros(len(values), np.uint16))
+        self.error = self.step / 2
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.low + self.step * self.codes[places]
 
 
 class Trie:
-    """Pairs of one shard, from ascending distinct (context, word) with counts; totals: c(context) of contexts dealt over several shards."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, totals: dict[int, int], kappa: float, folder: str):
-        self.kappa = kappa
-        new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
-        starts = np.flatnonzero(new)
-        heads = context[starts]
-        vocabulary = np.unique(word)
+    """Pairs of some words, from ascending distinct (word, context) with counts.
+
+    ``words`` are all known words, ascending, with how often they occur (``total``); some may have no
+    pair here, as theirs lie in other shards.
+    """
+
+    def __init__(self, words: np.ndarray, total: np.ndarray, word: np.ndarray, context: np.ndarray, count: np.ndarray, kappa: float, norm: float):
+        self.kappa, self.norm, self.total = kappa, norm, total
+        place = np.searchsorted(words, word)
+        vocabulary = np.unique(context)
         self.width = np.uint64(max(1, len(vocabulary)))
-        relative = (np.cumsum(new) - 1).astype(np.uint64) * self.width + np.searchsorted(vocabulary, word).astype(np.uint64)
-        self.total = np.add.reduceat(count, starts) if len(starts) else np.zeros(0, np.int64)
-        for h, c in totals.items():
-            at = np.searchsorted(heads, np.uint64(h))
-            if at < len(heads) and heads[at] == np.uint64(h):
-                self.total[at] = c
-        self.contexts = EliasFano(heads, folder, "contexts")
-        self.vocabulary = EliasFano(vocabulary, folder, "vocabulary")
-        self.pointers = EliasFano(np.append(starts, len(context)), folder, "pointers")
-        self.successors = EliasFano(relative, folder, "successors")
-        log = np.log10(count / (np.repeat(self.total, np.diff(np.append(starts, len(context)))) + kappa)) if len(count) else np.zeros(0)
-        codes, self.book = _codes(log)
-        self.codes = EliasFano._mapped(codes, f"{folder}/codes")
-
-    def query(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of ascending (context, word): c(context) (0: never seen), log10 of the pair's probability or of the back-off weight, and whether the pair was seen."""
-        new = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
+        self.words = EliasFano(words)
+        self.vocabulary = EliasFano(vocabulary)
+        self.pointers = EliasFano(np.searchsorted(place, np.arange(len(words) + 1)))
+        self.contexts = EliasFano(place.astype(np.uint64) * self.width + np.searchsorted(vocabulary, context).astype(np.uint64))
+        p = (total + 1.0) / norm
+        self.lower = Codes(np.log10(p))
+        self.joint = Codes(np.log10(count + kappa * p[place]))
+
+    def query(self, word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ascending (word, context): how often the word occurs, and log10 of c(context word) + k p(word)."""
+        if not len(word):
+            return np.zeros(0, np.int64), np.zeros(0)
+        new = np.concatenate(([True], word[1:] != word[:-1]))
         run = np.cumsum(new) - 1
-        at, known = self.contexts.successor(context[new])
-        total = np.where(known, self.total[np.minimum(at, max(0, len(self.total) - 1))] if len(self.total) else 0, 0)
-        pointers = self.pointers.values().astype(np.int64)
-        begin, end = (pointers[np.minimum(at, len(pointers) - 1)], pointers[np.minimum(at + 1, len(pointers) - 1)])
-        order = np.argsort(word, kind="stable")
+        at, known = self.words.successor(word[new])
+        total = np.zeros(len(at), np.int64)
+        log = np.full(len(at), np.log10(1 / self.norm))
+        total[known] = self.total[at[known]]
+        log[known] = self.lower.at(at[known])
+        begin, end = self.pointers.at(at[known]), self.pointers.at(at[known] + 1)
+        log = log[run] + np.log10(self.kappa)
+        # the contexts as places in the vocabulary; those that stand nowhere in it were never seen
+        order = np.argsort(context, kind="stable")
         rank, there = np.zeros(len(word), np.uint64), np.zeros(len(word), bool)
-        r, e = self.vocabulary.successor(word[order])
-        rank[order], there[order] = r.astype(np.uint64), e
-        able = np.flatnonzero(there & known[run]) if len(word) else np.zeros(0, np.int64)
-        place, equal = self.successors.successor(at[run[able]].astype(np.uint64) * self.width + rank[able])
-        equal &= (place >= begin[run[able]]) & (place < end[run[able]])  # within the context's successors
-        c1 = total[run]
-        log = np.log10(self.kappa / (c1 + self.kappa)) if len(word) else np.zeros(0)
-        seen = np.zeros(len(word), bool)
-        hit = able[equal]
-        seen[hit] = True
-        if len(hit):
-            log[hit] = self.book[self.codes[place[equal]]]
-        return c1, log, seen
+        rank[order], there[order] = self.vocabulary.successor(context[order])
+        able = np.flatnonzero(there & known[run])
+        place, equal = self.contexts.successor(at[run[able]].astype(np.uint64) * self.width + rank[able])
+        which = (np.cumsum(known) - 1)[run[able]]
+        equal &= (place >= begin[which]) & (place < end[which])  # within the word's contexts
+        log[able[equal]] = self.joint.at(place[equal])
+        return total[run], log
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -219,7 +235,8 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
-_PAIRS = (np.uint64, np.uint32, np.uint64, np.uint16, np.uint32, np.uint8)  # contexts, their runs, words, documents, frequencies, held-out flags
+_PAIRS = (np.uint64, np.uint32, np.uint64, np.uint16, np.uint8, np.int64)  # words, their runs, contexts, documents, frequencies, how many documents teach
+_SUMS = (np.uint16, np.float64, np.uint32, np.float64)  # documents, sums of log10(c + 1), known tokens, log10 of the bigrams
 
 
 def _blocks(shards: int, parts: dict[int, int]):
@@ -227,13 +244,13 @@ def _blocks(shards: int, parts: dict[int, int]):
     hot = np.array(sorted(parts), np.uint64)
     spread = np.array([parts[int(h)] for h in hot], np.uint64)
 
-    def shard_of(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        salt = np.zeros(len(context), np.uint64)
+    def shard_of(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        salt = np.zeros(len(word), np.uint64)
         if len(hot):
-            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            is_hot = hot[at] == context
-            salt[is_hot] = (word[is_hot] >> np.uint64(17)) % spread[at[is_hot]]
-        x = (context ^ (salt * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+            at = np.minimum(np.searchsorted(hot, word), len(hot) - 1)
+            is_hot = hot[at] == word
+            salt[is_hot] = (context[is_hot] >> np.uint64(17)) % spread[at[is_hot]]
+        x = (word ^ (salt * _MIX)) * np.uint64(0xD6E8FEB86659FD93)
         return ((x >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,28 +264,33 @@ def _blocks(shards: int, parts: dict[int, int]):
             block = task << 24 | count
             count += 1
             n = np.array(sizes)
+            teaches = ~np.array(flags, bool)
+            first = np.argsort(~teaches, kind="stable")  # documents that teach come first
+            number = np.empty(len(n), np.uint16)
+            number[first] = np.arange(len(n))
             word = np.concatenate(hashes)  # each document's words, then the end
-            ends = np.cumsum(n)
             context = np.concatenate((np.array([START], np.uint64), word[:-1]))
-            context[ends[:-1]] = START
-            doc = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-            order = np.lexsort((doc, word, context))
-            context, word, doc = context[order], word[order], doc[order]
-            new = np.concatenate(([True], (context[1:] != context[:-1]) | (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])))
-            first = np.flatnonzero(new)
-            freq = np.diff(np.append(first, len(new))).astype(np.uint32)
-            context, word, doc = context[first], word[first], doc[first]
-            shard = shard_of(context, word)
+            context[np.cumsum(n)[:-1]] = START
+            doc = np.repeat(number, n)
+            order = np.lexsort((doc, context, word))
+            word, context, doc = word[order], context[order], doc[order]
+            at = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (context[1:] != context[:-1]) | (doc[1:] != doc[:-1]))))
+            freq = np.diff(np.append(at, len(word)))
+            times = -(-freq // 255)  # a frequency beyond a byte is told in several rows
+            at = np.repeat(at, times)
+            left = np.repeat(freq, times) - 255 * (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times))
+            word, context, doc, freq = word[at], context[at], doc[at], np.minimum(left, 255).astype(np.uint8)
+            shard = shard_of(word, context)
             order = np.argsort(shard, kind="stable")
-            shard, context, word, doc, freq = shard[order], context[order], word[order], doc[order], freq[order]
+            shard, word, context, doc, freq = shard[order], word[order], context[order], doc[order], freq[order]
             cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
-            flag = np.array(flags, np.uint8)
-            head = pa.concat_arrays([k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys])
-            out = [(-1 - block, block, _pack(np.frombuffer(_ipc(head), np.uint8), n.astype(np.int64), flag))]
+            head = pa.concat_arrays([k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys]).take(pa.array(first))
+            taught = np.array([teaches.sum()], np.int64)
+            out = [(-1 - block, block, _pack(np.frombuffer(_ipc(head), np.uint8), n[first].astype(np.int64), taught))]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
-                c = context[lo:hi]
-                at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-                out.append((int(shard[lo]), block, _pack(c[at], np.diff(np.append(at, hi - lo)).astype(np.uint32), word[lo:hi], doc[lo:hi], freq[lo:hi], flag)))
+                w = word[lo:hi]
+                at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                out.append((int(shard[lo]), block, _pack(w[at], np.diff(np.append(at, hi - lo)).astype(np.uint32), context[lo:hi], doc[lo:hi], freq[lo:hi], taught)))
             keys, flags, hashes, sizes, tokens = [], [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "block", "data"])
 
@@ -292,148 +314,112 @@ def _blocks(shards: int, parts: dict[int, int]):
     return run
 
 
-def _shard(totals: dict[int, int], kappa: float):
+def _shard(totals: dict[int, int], kappa: float, norm: float):
     """Builds a shard's trie from its training pairs and answers all its pairs.
 
-    Returns for each block the sums of its documents (base, known, score), kind 0; rows of keys as
-    they came, kind 1; and kind 2, the pairs never seen: word, document, frequency.
+    Returns for each block the sums of the documents it met (kind 0), and rows of keys as they came (kind 1).
     """
+    hot = np.array(sorted(totals), np.uint64)
+    often = np.array([totals[int(h)] for h in hot], np.int64)
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blocks, data = table["block"].to_pylist(), table["data"].to_pylist()
+        blocks, data = table["block"].to_pylist(), table["data"]
         if key[0].as_py() < 0:
-            return pa.table({"kind": pa.array([1] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": pa.array(data, pa.binary())})
-        parts = [_unpack(d, *_PAIRS) for d in data]
-        base = np.cumsum([0] + [len(p[5]) for p in parts])
-        held = np.concatenate([p[5] for p in parts]).astype(bool)
-        n = int(base[-1])
-        sums = [np.zeros(n), np.zeros(n), np.zeros(n)]
-        missed: list[list] = [[] for _ in parts]
+            return pa.table({"kind": pa.array([1] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": data})
+        parts = [_unpack(d.as_buffer(), *_PAIRS) for d in data.combine_chunks()]
+        # sums have a place for each document of a block that was met here, and no other
+        met = [np.unique(p[3]) for p in parts]
+        base = np.cumsum([0, *map(len, met)])
+        sums = np.zeros((3, base[-1]))
+        slices = [(p[0] * _MIX >> np.uint64(40)) % np.uint64(SLICES) for p in parts]
         for piece in range(SLICES):
-            some = [(p[0] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) for p in parts]
-            of = [np.repeat(x % np.uint64(SLICES) == np.uint64(piece), p[1]) for x, p in zip(some, parts)]
-            context = np.concatenate([np.repeat(p[0], p[1])[m] for p, m in zip(parts, of)])
-            word = np.concatenate([p[2][m] for p, m in zip(parts, of)])
+            of = [np.repeat(x == np.uint64(piece), p[1]) for x, p in zip(slices, parts)]
+            word = np.concatenate([np.repeat(p[0], p[1])[m] for p, m in zip(parts, of)])
+            context = np.concatenate([p[2][m] for p, m in zip(parts, of)])
             freq = np.concatenate([p[4][m] for p, m in zip(parts, of)]).astype(np.int64)
-            doc = np.concatenate([p[3][m].astype(np.int64) + b for p, m, b in zip(parts, of, base)])
-            del some, of
-            part, miss = answered(context, word, freq, doc, held, n)
-            for total, x in zip(sums, part):
-                total += x
-            where = np.searchsorted(base, miss[1], "right") - 1
-            for i in np.unique(where):
-                mine = where == i
-                missed[i].append((miss[0][mine], (miss[1][mine] - base[i]).astype(np.uint16), miss[2][mine].astype(np.uint32)))
-        kinds, out_blocks, out = [], [], []
-        for i, block in enumerate(blocks):
-            kinds.append(0)
-            out_blocks.append(block)
-            of = slice(int(base[i]), int(base[i + 1]))
-            some = np.flatnonzero(sums[2][of])  # a document with few words meets few of many shards
-            out.append(_pack(some.astype(np.uint16), *(x[of][some] for x in sums)))
-            if missed[i]:
-                kinds.append(2)
-                out_blocks.append(block)
-                out.append(_pack(*(np.concatenate(x) for x in zip(*missed[i]))))
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(out_blocks, pa.int64()), "data": pa.array(out, pa.binary())})
-
-    def answered(context, word, freq, doc, held, n):
-        """(base, known, score) of the n documents from the pairs of some contexts, and the pairs never seen."""
-        order = np.lexsort((word, context))
-        context, word, freq, doc = context[order], word[order], freq[order], doc[order]
-        taught = np.flatnonzero(~held[doc])
-        a, b = context[taught], word[taught]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        count = np.add.reduceat(freq[taught], at) if len(at) else np.zeros(0, np.int64)
-        with tempfile.TemporaryDirectory() as folder:
-            trie = Trie(a[at], b[at], count, totals, kappa, folder)
-            c1, log, seen = trie.query(context, word)
-            del trie
-        own = context != np.uint64(START)  # each occurrence of a word is once a context; the start mark is no token
-        if totals and len(context):  # a word dealt over shards may have no training pair in this one
-            hot = np.array(sorted(totals), np.uint64)
-            k = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            c1 = np.where(hot[k] == context, np.array([totals[int(h)] for h in hot])[k], c1)
-            log = np.where(seen, log, np.log10(kappa / (c1 + kappa)))
-        sums = [np.bincount(doc, np.where(own, freq * np.log10(c1 + 1.0), 0), n), np.bincount(doc, np.where(own & (c1 > 0), freq, 0), n), np.bincount(doc, freq * log, n)]
-        miss = np.flatnonzero(~seen)
-        return sums, (word[miss], doc[miss], freq[miss])
+            teaches = np.concatenate([p[3][m] < p[5][0] for p, m in zip(parts, of)])
+            doc = np.concatenate([np.searchsorted(d, p[3][m]) + b for p, m, d, b in zip(parts, of, met, base)])
+            del of
+            order = np.lexsort((context, word))
+            answered(word[order], context[order], freq[order], teaches[order], doc[order], sums)
+        out = [_pack(d, sums[0, lo:hi], np.rint(sums[1, lo:hi]).astype(np.uint32), sums[2, lo:hi]) for d, lo, hi in zip(met, base[:-1], base[1:])]
+        return pa.table({"kind": pa.array([0] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
+
+    def answered(word, context, freq, teaches, doc, sums) -> None:
+        """Adds what ascending (word, context) contribute to the sums of their documents."""
+        if not len(word):
+            return
+        b, a, f = word[teaches], context[teaches], freq[teaches]
+        at = np.flatnonzero(np.concatenate(([True], (b[1:] != b[:-1]) | (a[1:] != a[:-1])))) if len(b) else np.zeros(0, np.int64)
+        count = np.add.reduceat(f, at) if len(at) else np.zeros(0, np.int64)
+        b, a = b[at], a[at]
+        new = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else np.zeros(0, np.int64)
+        words, total = b[new], np.add.reduceat(count, new) if len(new) else np.zeros(0, np.int64)
+        if len(hot):  # words that are dealt over shards: their count is known beforehand, their pairs may all lie elsewhere
+            here = np.intersect1d(hot, word)
+            words, total = np.concatenate([here, words]), np.concatenate([often[np.searchsorted(hot, here)], total])
+            words, one = np.unique(words, return_index=True)
+            total = total[one]
+        trie = Trie(words, total, b, a, count, kappa, norm)
+        c, log = trie.query(word, context)
+        log -= np.where(word != np.uint64(END), np.log10(c + kappa), 0.0)  # each occurrence of a word is once a context; the end is none
+        for k, x in enumerate((np.log10(c + 1.0), (c > 0).astype(float), log)):
+            sums[k] += np.bincount(doc, freq * x, sums.shape[1])
 
     return run
 
 
-def _misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            word, doc, freq = _unpack(data, np.uint64, np.uint16, np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.full(len(word), block << 16) | doc.astype(np.int64)), pa.array(freq.astype(np.int64))], names=["word", "ref", "n"])
-
-
-def _finished(end_count: int):
+def _finished(start: float, train_tokens: int, norm: float):
     """Sums of a block over its shards, by document."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        kinds = table["kind"].to_pylist()
-        packed, sizes, flags = _unpack(table["data"][kinds.index(1)].as_py(), np.uint8, np.int64, np.uint8)
+        kinds, data = table["kind"].to_pylist(), table["data"].combine_chunks()
+        packed, sizes, taught = _unpack(data[kinds.index(1)].as_buffer(), np.uint8, np.int64, np.int64)
         keys = pa.ipc.open_stream(packed.tobytes()).read_all()["k"]
         n = len(sizes)
         total = np.zeros((3, n))
-        for kind, data in zip(kinds, table["data"]):
+        for kind, row in zip(kinds, data):
             if kind == 0:
-                some, *values = _unpack(data.as_py(), np.uint16, np.float64, np.float64, np.float64)
+                some, *values = _unpack(row.as_buffer(), *_SUMS)
                 total[:, some] += values
-        block = key[0].as_py()
-        ends = np.log10(end_count + 1.0)
         return pa.table(
             {
                 "doc_id": keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys,
-                "held_out": pa.array(flags.astype(bool)),
-                "ref": pa.array((block << 16) + np.arange(n)),
+                "held_out": pa.array(np.arange(n) >= taught[0]),
                 "n_tokens": pa.array(sizes),
-                "n_known": pa.array(np.rint(total[1]).astype(np.int64) + (end_count > 0)),
-                "base": pa.array(total[0] + ends),
-                "pairs": pa.array(total[2]),
+                "n_known": pa.array(np.rint(total[1]).astype(np.int64)),
+                "train_tokens": pa.array(np.full(n, train_tokens)),
+                "base_score": pa.array(total[0] - sizes * np.log10(norm)),
+                "score": pa.array(total[2] - start),
             }
         )
 
     return run
 
 
-def score_texts(docs: DataFrame, kappa: float = KAPPA, shard_tokens: int = SHARD_TOKENS, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, kappa: float = KAPPA, shard_tokens: int = SHARD_TOKENS, hot_part: float = HOT_PART) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     Null and blank texts have one token, the end.  A row without doc_id is not held out.  If every
-    row is held out nothing is known and N and V are 0.  Repeated rows each count and each get a
-    result; an empty table gives no rows; other columns are ignored.
+    row is held out nothing is known and N and V are 0.  Texts of any length are scored whole.
+    Repeated rows each count and each get a result; an empty table gives no rows; other columns are
+    ignored.  ``base_score`` is exact; ``score`` is off by half a step of the 16-bit codes a token at
+    most, and the same in every run but for the order of addition.
     """
     spark = docs.sparkSession
     counts = materialize(word_counts(docs), "words")
-    start = int(np.array([START], np.uint64).view(np.int64)[0])
-    end = int(np.array([END], np.uint64).view(np.int64)[0])
-    whole = counts.where(F.col("word") != start).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == end, F.col("n"))), F.lit(0))).first()
-    train_tokens, distinct, end_count = int(whole[0]), int(whole[1]), int(whole[2])
+    start, end = (int(np.array([x], np.uint64).view(np.int64)[0]) for x in (START, END))
+    tokens = counts.where(F.col("word") != start)
+    whole = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.max(F.when(F.col("word") == end, F.col("n"))), F.lit(0))).first()
+    train_tokens, distinct, documents = map(int, whole)
+    norm = float(train_tokens + distinct + 1)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-train_tokens // shard_tokens))
-    top = counts.where(F.col("word") != end).orderBy(F.col("n").desc(), "word").limit(hot_words).collect()  # a fixed number of rows
-    unsigned = lambda x: x + (1 << 64) if x < 0 else x
-    totals = {unsigned(r["word"]): r["n"] for r in top if r["n"] * shards * 4 > train_tokens}
-    parts = {w: max(1, -(-n * shards * 4 // max(1, train_tokens))) for w, n in totals.items()}
+    # at most hot_part words a shard, since each has that part of the tokens of one
+    frequent = tokens.where(F.col("n") * F.lit(float(shards * hot_part)) > F.lit(float(train_tokens))).collect()
+    totals = {r["word"] % (1 << 64): r["n"] for r in frequent}
+    parts = {w: max(1, int(-(-n * shards * hot_part // train_tokens))) for w, n in totals.items()}
     rows = docs.select(F.col("doc_id").alias("key"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(shards, parts), "shard long, block long, data binary")
-    answers = materialize(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(totals, kappa), "kind int, block long, data binary"), "answers")
-    misses = answers.where("kind = 2").select("block", "data").mapInArrow(_misses, "word long, ref long, n long")
-    logs = counts.select(F.col("word").alias("w"), F.log10(F.col("n") + 1.0).alias("log"))
-    lower = misses.join(logs, F.col("word") == F.col("w"), "left").groupBy("ref").agg(F.sum(F.col("n") * F.coalesce("log", F.lit(0.0))).alias("lower"), F.sum("n").alias("missed")).withColumnRenamed("ref", "mref")
-    schema = docs.select("doc_id").schema.add("held_out", "boolean").add("ref", "long").add("n_tokens", "long").add("n_known", "long").add("base", "double").add("pairs", "double")
-    sums = answers.where("kind < 2").groupBy("block").applyInArrow(_finished(end_count), schema)
-    norm = F.log10(F.lit(float(train_tokens + distinct + 1)))
-    joined = sums.join(lower, F.col("ref") == F.col("mref"), "left")
-    return joined.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        "n_known",
-        F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("pairs") + F.coalesce("lower", F.lit(0.0)) - F.coalesce("missed", F.lit(0)) * norm).alias("score"),
-    )
+    answers = materialize(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(totals, kappa, norm), "kind int, block long, data binary"), "answers")
+    schema = docs.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    return answers.groupBy("block").applyInArrow(_finished(float(np.log10(documents + kappa)), train_tokens, norm), schema)

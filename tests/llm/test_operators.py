@@ -223,22 +223,31 @@ def test_toxicity_learns_only_from_its_rows(spark, docs, none):
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 9000])
-def test_elias_fano(tmp_path, n):
+def test_elias_fano(n):
     rng = np.random.default_rng(n)
     for top in (10, 2**20, 2**63):
         v = np.unique(rng.integers(0, top, n, dtype=np.uint64))
-        e = ngram_lm.EliasFano(v, str(tmp_path), f"x{top}")
-        assert (e.values() == v).all()
+        e = ngram_lm.EliasFano(v)
+        assert (e.at(np.arange(len(v))) == v).all() and (e.at(np.arange(0, len(v), 7)) == v[::7]).all()
         q = np.sort(np.concatenate([rng.integers(0, top, 200, dtype=np.uint64), v[:100]]))
         place, equal = e.successor(q)
         assert (place == np.searchsorted(v, q)).all() and (equal == np.isin(q, v)).all()
 
 
-@pytest.mark.parametrize("shard_tokens", [4_000_000, 500])
-def test_language_model(docs, none, shard_tokens):
+def test_codes_keep_their_bound():
+    v = np.random.default_rng(1).normal(size=5000)
+    c = ngram_lm.Codes(v)
+    assert np.abs(c.at(np.arange(5000)) - v).max() <= c.error * (1 + 1e-9) and c.error < 1e-4
+    assert (ngram_lm.Codes(np.full(3, 0.25)).at(np.arange(3)) == 0.25).all()
+
+
+@pytest.mark.parametrize("shard_tokens, hot_part", [(4_000_000, 4), (500, 4), (500, 1e9), (4_000_000, 1e-9)])
+def test_language_model(docs, none, shard_tokens, hot_part):
+    """Against counts in plain Python, with no words, some and all words dealt over shards."""
     data = [(r.doc_id, r.text) for r in docs.collect()]
     words = [[x for x in (t or "").encode().lower().split()] + [b" end"] for _, t in data]
     held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in data]
+    assert any(held)
     c, pairs = collections.Counter(), collections.Counter()
     for w, h in zip(words, held):
         if not h:
@@ -249,14 +258,26 @@ def test_language_model(docs, none, shard_tokens):
         context[a] += n
     total, v, k = sum(c.values()), len(c), ngram_lm.KAPPA
     base = lambda x: (c[x] + 1) / (total + v + 1)
-    p = lambda a, b: pairs[a, b] / (context[a] + k) if (a, b) in pairs else k / (context[a] + k) * base(b)
+    p = lambda a, b: (pairs[a, b] + k * base(b)) / (context[a] + k)
+    for a in (b" start", b"the", b"never seen"):  # after any context the words and the unknown one have a probability of one together
+        assert abs(sum(p(a, b) for b in c) + p(a, b"unknown") - 1) < 1e-12
     want = sorted(((i, h, len(w), sum(c[x] > 0 for x in w), total, sum(math.log10(base(x)) for x in w), sum(math.log10(p(a, b)) for a, b in zip([b" start", *w[:-1]], w))) for (i, _), w, h in zip(data, words, held)), key=repr)
-    got = sorted((tuple(r) for r in ngram_lm.score_texts(docs, shard_tokens=shard_tokens).collect()), key=repr)
+    got = sorted((tuple(r) for r in ngram_lm.score_texts(docs, shard_tokens=shard_tokens, hot_part=hot_part).collect()), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
-    assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=2e-2)
+    assert np.allclose([g[5] for g in got], [w[5] for w in want], rtol=1e-10)
+    # logarithms lie between that of k p(unknown) and that of the most frequent pair: half a step of the codes a token
+    reach = math.log10(max(pairs.values()) + k) - math.log10(k / (total + v + 1))
+    assert all(abs(g[6] - w[6]) <= w[2] * reach / 2 / ngram_lm.Codes.TOP + 1e-9 for g, w in zip(got, want))
     assert ngram_lm.score_texts(none).count() == 0
 
 
+def test_long_text_and_frequent_pair(spark):
+    d = spark.createDataFrame([(1, "a " * 1000 + "b " * 70_000), (2, "a b"), (5, "c")], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_lm.score_texts(d, shard_tokens=1000).collect()}
+    assert got[1].n_tokens == 71_001 and got[2].n_tokens == 3
+    assert got[2].n_known == 3 and got[2].score > got[2].base_score
+
+
 def test_mixing(spark, docs, none):
     got = mixing.mix(docs).collect()
     sizes = collections.Counter()
