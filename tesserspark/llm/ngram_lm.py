@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserspark.llm.common import materialize
 
-KAPPA, BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS = 4.0, 1_000_000, 60_000, 4_000_000
+KAPPA, BLOCK_TOKENS, BLOCK_DOCS, SHARD_TOKENS = 64.0, 1_000_000, 60_000, 4_000_000
 #: A word with more than this part of a shard's tokens is dealt over several shards; so there are at most HOT_PART words a shard.
 HOT_PART = 4
 #: A shard is built and queried in this many slices of its words, one after another, to hold less at once.
