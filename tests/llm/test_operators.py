@@ -150,12 +150,36 @@ def test_decontamination(spark, docs, none):
     d = spark.createDataFrame(texts, "doc_id long, text string")
     b = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, mark int")
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert rows_of(decontamination.decontaminate(d, b), *columns) == contamination(texts, items)
+    for small in (decontamination.BROADCAST_ROWS, 0):
+        assert rows_of(decontamination.decontaminate(d, b, small=small), *columns) == contamination(texts, items)
     assert decontamination.decontaminate(none, b).count() == 0
     assert not [r for r in decontamination.decontaminate(docs, b.where("false")).collect() if r.contaminated]
     assert decontamination.drop_contaminated(d, b).count() == sum(not x[-1] for x in contamination(texts, items))
 
 
+def test_decontamination_of_repeated_words(spark):
+    """Every place of the document meets every place of the item; the work does not grow with their product."""
+    import time
+
+    def seconds(n):
+        d = spark.createDataFrame([(1, "same " * n + "other"), (2, "same " * 12)], "doc_id long, text string")
+        b = spark.createDataFrame([(1, "same " * (n // 2)), (2, "same " * 13)], "item_id long, text string")
+        begun = time.perf_counter()
+        got = {r.doc_id: (r.n_hit, r.n_items) for r in decontamination.decontaminate(d, b).collect()}
+        assert got == {1: (n, 2), 2: (0, 0)}
+        return time.perf_counter() - begun
+
+    seconds(100)
+    assert seconds(80_000) < 4 * seconds(4_000) + 5
+
+
+def test_decontamination_runs(spark):
+    p = " ".join(f"p{k}" for k in range(15))
+    d = spark.createDataFrame([(1, f"a b {p} c {p}"), (2, p)], "doc_id long, text string")
+    got = {r.key: [(x["b"], x["e"]) for x in r.runs] for r in decontamination.contaminations(d, spark.createDataFrame([(1, p)], "item_id long, text string")).collect()}
+    assert got == {1: [(2, 17), (18, 33)], 2: [(0, 15)]}
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header class="site-header"><a href=/>Logo name</a></header><nav><ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul></nav>
     <div class="cookie-notice"><p>We use cookies to make this site better for you.</p></div><article><h1>Main &amp; title</h1><p>First <b>bo</b>ld   paragraph of the story goes here, it is long enough.<p>Second one &lt;x&gt; &#233;.</p>
