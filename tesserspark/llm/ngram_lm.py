@@ -315,18 +315,29 @@ def _blocks(shards: int, parts: dict[int, int]):
 
 
 def _shard(totals: dict[int, int], kappa: float, norm: float):
-    """Builds a shard's trie from its training pairs and answers all its pairs.
+    """Builds the trie of each of a task's shards from its training pairs and answers all its pairs.
 
     Returns for each block the sums of the documents it met (kind 0), and rows of keys as they came (kind 1).
     """
     hot = np.array(sorted(totals), np.uint64)
     often = np.array([totals[int(h)] for h in hot], np.int64)
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        blocks, data = table["block"].to_pylist(), table["data"]
-        if key[0].as_py() < 0:
-            return pa.table({"kind": pa.array([1] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": data})
-        parts = [_unpack(d.as_buffer(), *_PAIRS) for d in data.combine_chunks()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, pa.Buffer]]] = {}
+        for batch in batches:
+            for shard, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if shard < 0:
+                    yield rows(1, [block], [data.as_py()])
+                else:
+                    held.setdefault(shard, []).append((block, data.as_buffer()))
+        while held:
+            _, found = held.popitem()
+            yield rows(0, [block for block, _ in found], sums_of([_unpack(data, *_PAIRS) for _, data in found]))
+
+    def rows(kind: int, blocks: list[int], data: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(blocks), pa.int32()), pa.array(blocks, pa.int64()), pa.array(data, pa.binary())], names=["kind", "block", "data"])
+
+    def sums_of(parts: list[list[np.ndarray]]) -> list[bytes]:
         # sums have a place for each document of a block that was met here, and no other
         met = [np.unique(p[3]) for p in parts]
         base = np.cumsum([0, *map(len, met)])
@@ -342,8 +353,7 @@ def _shard(totals: dict[int, int], kappa: float, norm: float):
             del of
             order = np.lexsort((context, word))
             answered(word[order], context[order], freq[order], teaches[order], doc[order], sums)
-        out = [_pack(d, sums[0, lo:hi], np.rint(sums[1, lo:hi]).astype(np.uint32), sums[2, lo:hi]) for d, lo, hi in zip(met, base[:-1], base[1:])]
-        return pa.table({"kind": pa.array([0] * len(blocks), pa.int32()), "block": pa.array(blocks, pa.int64()), "data": pa.array(out, pa.binary())})
+        return [_pack(d, sums[0, lo:hi], np.rint(sums[1, lo:hi]).astype(np.uint32), sums[2, lo:hi]) for d, lo, hi in zip(met, base[:-1], base[1:])]
 
     def answered(word, context, freq, teaches, doc, sums) -> None:
         """Adds what ascending (word, context) contribute to the sums of their documents."""
@@ -420,6 +430,7 @@ def score_texts(docs: DataFrame, kappa: float = KAPPA, shard_tokens: int = SHARD
     parts = {w: max(1, int(-(-n * shards * hot_part // train_tokens))) for w, n in totals.items()}
     rows = docs.select(F.col("doc_id").alias("key"), held_out(F.col("doc_id")).alias("held"), F.col("text").cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(shards, parts), "shard long, block long, data binary")
-    answers = materialize(blocks.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(totals, kappa, norm), "kind int, block long, data binary"), "answers")
+    dealt = blocks.repartitionById(shards, F.pmod("shard", F.lit(shards)).cast("int"))  # each shard a task of its own
+    answers = materialize(dealt.mapInArrow(_shard(totals, kappa, norm), "kind int, block long, data binary"), "answers")
     schema = docs.select("doc_id").schema.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     return answers.groupBy("block").applyInArrow(_finished(float(np.log10(documents + kappa)), train_tokens, norm), schema)
