@@ -75,6 +75,21 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, unique: DataFrame, left: str, right: str, n: str, hot: int) -> DataFrame:
+    """``rows`` joined to ``unique`` on left = right, though some key may stand on a large part of ``rows``.
+
+    ``unique`` has one row a key, and in ``n`` how many rows of ``rows`` have it (and is read several
+    times).  Keys of more than ``hot`` rows, of which there is at most one for each ``hot`` rows, are
+    broadcast, and their rows stay where they are.
+    """
+    crowded = materialize(unique.where(F.col(n) > hot), "crowded")
+    same = F.col(left) == F.col(right)
+    if crowded.isEmpty():
+        return rows.join(unique, same)
+    usual = rows.join(F.broadcast(crowded.select(right)), same, "left_anti").join(unique.where(F.col(n) <= hot), same)
+    return rows.join(F.broadcast(crowded), same).unionByName(usual)
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a materialized table that no later plan reads."""
     spark = df.sparkSession

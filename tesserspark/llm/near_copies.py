@@ -1,4 +1,4 @@
-"""Near copies: word shingles with Jaccard similarity of 0.8 or more.
+"""Near copies: word shingles with Jaccard similarity of 0.8 or more; a part of the near-duplicate stage.
 
 Bits of a SimHash do not reach this similarity (pairs at 0.8 differ in up to 14 bits), so texts that
 may be similar are found by MinHash: 40 bands of 7 values, of which two texts of similarity 0.8 share
@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from tesserspark.llm.common import materialize
-from tesserspark.llm.simhash import _hash, components, headed, keep_heads
+from tesserspark.llm.common import join_spread, materialize
+from tesserspark.llm.simhash import HOT, _hash, components, headed, keep_heads
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
@@ -111,7 +111,7 @@ def _block_links(shingle: int, similarity: float):
     return run
 
 
-def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = 500, broadcast_rows: int = 1_000_000) -> DataFrame:
+def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = 250, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(a, b): links between the marks of texts of the given similarity; they make its components."""
 
     def small(df: DataFrame) -> DataFrame:
@@ -122,8 +122,8 @@ def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, similari
     crowded = materialize(crowded.select("cband", "least"), "crowded")
     met = banded.join(small(crowded), F.col("band") == F.col("cband")).where(F.col("mark") != F.col("least"))
     groups = materialize(components(met.select(F.col("mark").alias("a"), F.col("least").alias("b")).distinct()), "groups")
-    parts = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"))
-    dealt = groups.join(parts, F.col("root") == F.col("r")).select("node", "root", "parts", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    parts = groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts"), F.count(F.lit(1)).alias("members"))
+    dealt = join_spread(groups, parts, "root", "r", "members", HOT).select("node", "root", "parts", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     # if there are several parts, one is compared with itself in a block of its own
     dealt = dealt.select("node", "root", "part", other).select("node", "root", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
@@ -134,7 +134,7 @@ def links(docs: DataFrame, sketches: DataFrame, shingle: int = SHINGLE, similari
     return rows.mapInArrow(_block_links(shingle, similarity), "a long, b long").distinct()
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = 500) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, chunk: int = 250) -> DataFrame:
     """One row of each component of near copies, that of the least doc_id, with all columns.
 
     Equal texts are copies of each other; blank texts that differ are not.  Rows without doc_id stand

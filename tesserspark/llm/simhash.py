@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tesserspark.llm.common import discard, materialize
+from tesserspark.llm.common import discard, join_spread, materialize
 
 SHINGLE, BUDGET, HOT = 3, 2, 100_000
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
@@ -186,19 +186,21 @@ def links(distinct: DataFrame, hot: int = HOT, levels: int = 3) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hot: int = HOT) -> DataFrame:
     """(node, root) for every node of an edge: alternating large-star and small-star rounds, each written to the shared folder.
 
-    No step gathers a node's neighbours; they only meet as partial minima and as rows of a join.
+    No step gathers a node's neighbours; they only meet as partial minima and as rows of a join, in
+    which the edges of a node with more than ``hot`` stay where they are.
     """
 
     def signed(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
+        one, other = F.xxhash64("a", "b"), F.xxhash64("b", F.lit(1), "a")
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(one.cast("decimal(20)")), F.bit_xor(other)).first())
 
-    def star(df: DataFrame, large: bool) -> DataFrame:
+    def star(df: DataFrame, large: bool, edges_now: int) -> DataFrame:
         both = df.union(df.select("b", "a")) if large else df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")).withColumnRenamed("a", "n")
-        joined = both.join(least, F.col("a") == F.col("n"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("a", "n")
+        joined = both.join(least, F.col("a") == F.col("n")) if 2 * edges_now <= hot else join_spread(both, least, "a", "n", "degree", hot)
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
@@ -206,10 +208,13 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where(F.col("a") != F.col("b")).distinct()
 
     now = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")), "edges")
-    was = None
-    while (sign := signed(now)) != was:
-        was = sign
-        then = materialize(star(star(now, True), False), "edges")
+    sign, same = signed(now), False
+    while not same:
+        half = star(now, True, sign[0])
+        half = materialize(half, "edges") if 2 * sign[0] > hot else half  # read several times if nodes are crowded
+        then = materialize(star(half, False, sign[0]), "edges")
+        was, sign = sign, signed(then)
+        same = sign == was and then.join(now, ["a", "b"], "left_anti").isEmpty()  # equal sums may be chance; equal tables are not
         discard(now)
         now = then
     nodes = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -217,15 +222,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def headed(rows: DataFrame, edges: DataFrame | None = None, hot: int = HOT) -> DataFrame:
-    """(cfp, head): first (key, mark) of the component of each fp of ``rows``, by ``edges`` or else by links of fingerprints."""
+    """(cfp, head, copies): first (key, mark) of the component of each fp of ``rows``, by ``edges`` or else by links of fingerprints, and how many rows have the fp."""
     # rows without a key come last, so they stand for a component only if no row has one
     first = F.min(F.struct(F.col("key").isNull().alias("void"), "key", "mark"))
-    classes = materialize(rows.groupBy("fp").agg(first.alias("first")), "classes")
-    roots = components(links(classes.select("fp"), hot) if edges is None else edges)
-    member = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    classes = materialize(rows.groupBy("fp").agg(first.alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    roots = components(links(classes.select("fp"), hot) if edges is None else edges, hot)
+    member = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     member = materialize(member, "members")
-    heads = member.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("head"))
-    return member.join(heads, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "head")
+    heads = member.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("members"))
+    return materialize(join_spread(member, heads, "root", "r", "members", hot).select(F.col("fp").alias("cfp"), "head", "copies"), "heads")
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -237,23 +242,27 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     heads = headed(rows, hot=hot)
-    return rows.join(heads, F.col("fp") == F.col("cfp")).select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head")["key"].alias("component_id"))
+    return join_spread(rows, heads, "fp", "cfp", "copies", hot).select(F.col("key").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("head")["key"].alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, hot: int = HOT, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row of each component, that of the least doc_id, with all columns."""
+    """One row of each component, that of the least doc_id, with all columns, whatever their names.
+
+    Null and blank texts are copies of each other, as in ``near_duplicates``; of repeated rows one
+    stays; texts of any length count whole; an empty table gives no rows.
+    """
     rows = materialize(fingerprints(docs), "fingerprints")
-    return keep_heads(docs, rows, headed(rows, hot=hot), broadcast_rows)
+    return keep_heads(docs, rows, headed(rows, hot=hot), broadcast_rows, hot)
 
 
-def keep_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, broadcast_rows: int = 1_000_000) -> DataFrame:
+def keep_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, broadcast_rows: int = 1_000_000, hot: int = HOT) -> DataFrame:
     """The first row of each component, with all columns.
 
     The rows that go, and the few keys that stand on several rows, are counted; up to
     ``broadcast_rows`` they are broadcast and the texts stay where they are, beyond they are shuffled.
     """
     columns = docs.columns
-    keyed = rows.groupBy("key", "mark", "fp").agg(F.count(F.lit(1)).alias("n")).join(heads, F.col("fp") == F.col("cfp"))
+    keyed = join_spread(rows.groupBy("key", "mark", "fp").agg(F.count(F.lit(1)).alias("n")), heads, "fp", "cfp", "copies", hot)
     head = (F.col("key").eqNullSafe(F.col("head")["key"])) & (F.col("mark") == F.col("head")["mark"])
     marked = keyed.select(F.col("key").alias("__key"), F.col("mark").alias("__mark"), F.when(~head, "drop").when(F.col("n") > 1, "several").alias("__what"))
     some = materialize(marked.where("__what is not null"), "dropped")

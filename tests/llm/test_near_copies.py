@@ -46,8 +46,7 @@ def test_near_copies(spark, chunk):
     assert near_copies.one_of_each(df.where("false")).count() == 0
 
 
-def test_pipeline_mixes_one_of_each_group(spark):
+def test_stage_keeps_one_of_each_group(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    mixed = {r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, SF).collect()}
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert mixed <= set(brute(rows))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, docs, SF).collect()}
+    assert kept <= set(brute([(r.doc_id, r.text) for r in docs.collect()]))

@@ -103,8 +103,11 @@ def test_simhash(docs, none):
     want = [(i, f"{f:016x}", c) for (i, *_), f, c in zip(TEXTS, fps, brute_components(fps, [x[0] for x in TEXTS]))]
     assert rows_of(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)
     assert simhash.near_duplicates(none).count() == 0
-    one = simhash.one_of_each(docs)
-    assert one.columns == docs.columns and one.count() == len({c for *_, c in want})
+    assert rows_of(simhash.near_duplicates(docs, hot=1), "doc_id", "fingerprint", "component_id") == sorted(want, key=repr)  # every key counts as crowded
+    for hot in (simhash.HOT, 1):
+        one = simhash.one_of_each(docs, hot=hot)
+        assert one.columns == docs.columns and one.count() == len({c for *_, c in want})
+    assert simhash.one_of_each(none).count() == 0
 
 
 @pytest.mark.parametrize("hot", [10**6, 3])
