@@ -1,10 +1,12 @@
 """From raw documents to shards: quality rules, near-duplicates, decontamination, mixing, sharding.
 
-Near-duplicates go in two steps: those by fingerprint in a stage of their own, and before mixing
-those of five-word shingles with a similarity of 0.8 or more, which fingerprints hardly find.
+The near-duplicate stage keeps one document of each group by fingerprint and then, of those, one of
+each group by five-word shingles with a similarity of 0.8 or more, which fingerprints hardly find.
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written as Parquet and read again
-as the documents of the next.  All but the last return the columns of documents.
+as the documents of the next.  All but the last return the columns of documents.  An empty table of
+documents passes through all stages; what nulls, empty and very long texts, repeated rows and
+clashing columns mean is said by the operator of each stage.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs)
+    return near_copies.one_of_each(simhash.one_of_each(docs))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed_documents(near_copies.one_of_each(docs))
+    return mixing.mixed_documents(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ STAGES = [
     ("quality rules", quality_stage),
     ("simhash near-duplicates", near_duplicate_stage),
     ("benchmark decontamination", decontamination_stage),
-    ("near copies, mixing to target weights", mixing_stage),
+    ("mixing to target weights", mixing_stage),
     ("sharding", sharding_stage),
 ]
 
