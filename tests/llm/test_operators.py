@@ -330,6 +330,9 @@ def test_mixing(spark, docs, none):
         assert abs(part.taken.sum() - part.target.iloc[0]) < 0.02 * part.target.iloc[0]
     again = mixing.mix(big.repartition(7), cell_rows=100).toPandas()
     assert out.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
+    spread = mixing.mix(big, cell_rows=100, broadcast_rows=0, hot=500).toPandas()  # nothing is broadcast but crowded sources
+    assert out.sort_values("doc_id").taken.tolist() == spread.sort_values("doc_id").taken.tolist()
+    assert mixing.mixed_documents(big, cell_rows=100, broadcast_rows=0, hot=500).count() == (out.taken // out["size"]).sum()
     repeated = mixing.mixed_documents(big, cell_rows=100)
     assert repeated.columns == big.columns and repeated.count() == (out.taken // out["size"]).sum()
 

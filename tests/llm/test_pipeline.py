@@ -35,3 +35,21 @@ def test_every_query_runs(spark):
     for name, query in queries.QUERIES.items():
         if name != "pipeline":
             assert query(spark, SF).count() > 0, name
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    """Nulls in any column, empty texts, rows that repeat in full, clashing names, and no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", None, None, 0), (3, "a b c", "en", None, 5), (3, "a b c", "en", None, 5), (None, "a b c", "en", "s", 5)], docs.schema)
+    extra = odd.selectExpr("*", "1 AS shard", "'x' AS __key", "2 AS copies", "'y' AS mark", "3 AS fp")
+    for table in (odd, extra):
+        for name, stage in corpus_pipeline.STAGES:
+            for part in (table, table.where("false")):
+                out = stage(spark, part, SF)
+                rows = out.collect()
+                if name != "sharding":
+                    assert out.columns == table.columns
+                else:
+                    assert len(rows) == part.count() and {"shard", "slot"} <= set(out.columns)
+                if part is not table:
+                    assert rows == []
