@@ -122,6 +122,8 @@ OTHERS = [
 #: Function words: no features by themselves.
 FILLER = "the of and to in is it that for on with as was by at this from they are be or an not but which all you can has have we their more will about one".split()
 UNKNOWN = "unknown"
+#: Paragraphs that are likely licences (20 bytes each) are broadcast up to this many rows, counted first.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -250,10 +252,10 @@ WRAP = r"""(?<![ \t\r])(?<![.!?:;][)"']?)[ \t\r]*\n(?=[ \t\r]*[^\s])"""
 
 
 def paragraphs(docs: DataFrame, model: LicenceModel | None = None) -> DataFrame:
-    """key, mark, place, words of each distinct row's paragraphs that hold an anchor word of the model."""
+    """key, mark, place, words of each row's paragraphs that hold an anchor word of the model; a row that repeats gives its paragraphs each time."""
     anchors = F.array(*[F.lit(a) for a in (model or default_model()).anchors])
     rows = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("mark"), F.col("text").cast("string").alias("text"))
-    some = rows.where(F.arrays_overlap(plain_words(F.col("text")), anchors)).dropDuplicates(["key", "mark"])
+    some = rows.where(F.arrays_overlap(plain_words(F.col("text")), anchors))
     pieces = some.select("key", "mark", F.posexplode(F.split(F.regexp_replace("text", WRAP, " "), "\n")).alias("place", "piece"))
     return pieces.select("key", "mark", "place", plain_words(F.col("piece")).alias("words")).where(F.arrays_overlap("words", anchors))
 
@@ -269,7 +271,7 @@ def _pairs(notice: str) -> list[str]:
 
 
 def classify(pieces: DataFrame, model: LicenceModel | None = None, least: float = 0.5, share: float = 0.5, part: float = 0.6, some: int = 6) -> DataFrame:
-    """Adds family, probability and confirmed to rows (key, mark, place, words).
+    """(key, mark, place, family, probability, confirmed) of the rows (key, mark, place, words) that have a feature; rows that repeat are one.
 
     The family is the likeliest class, ``unknown`` if its probability is under ``least``; of equal
     classes the first in the model's order.  It is confirmed if the paragraph has one of the family's
@@ -281,17 +283,20 @@ def classify(pieces: DataFrame, model: LicenceModel | None = None, least: float
     spark = pieces.sparkSession
     k = len(model.families)
     numbered = materialize(pieces.withColumn("piece", F.monotonically_increasing_id()), "paragraphs")  # written down, so a number stays with its paragraph
-    grams = numbered.select("piece", F.explode(_grams(F.col("words"))).alias("g"))
+    of = ["piece", "key", "mark", "place"]
+    grams = numbered.select(*of, F.explode(_grams(F.col("words"))).alias("g"))
     scored = grams.join(F.broadcast(_weights(spark, model)), F.col("g") == F.col("gram"))
-    sums = scored.groupBy("piece").agg(*[F.sum(F.get("weight", F.lit(i))).alias(f"z{i}") for i in range(k)])
+    sums = scored.groupBy(*of).agg(*[F.sum(F.get("weight", F.lit(i))).alias(f"z{i}") for i in range(k)])
     z = F.array(*[(F.col(f"z{i}") + F.lit(model.bias[i])) / model.temperature for i in range(k)])
     top = F.array_max("z")
     total = F.aggregate("z", F.lit(0.0), lambda acc, v: acc + F.exp(v - F.col("top")))
     best = F.element_at(F.array(*[F.lit(f) for f in model.families]), F.array_position("z", F.col("top")).cast("int"))
-    named = sums.select("piece", z.alias("z")).withColumn("top", top).select("piece", best.alias("best"), (1 / total).alias("probability"))
+    named = sums.select(*of, z.alias("z")).withColumn("top", top).select(*of, best.alias("best"), (1 / total).alias("probability"))
+    judged = materialize(named.withColumn("family", F.when(F.col("probability") >= least, F.col("best")).otherwise(UNKNOWN)).drop("best"), "judged")
     # the few paragraphs that are likelier a licence than not meet their words again
-    judged = named.withColumn("family", F.when(F.col("probability") >= least, F.col("best")).otherwise(UNKNOWN))
-    told = judged.where(F.col("family") != UNKNOWN).join(numbered, "piece")
+    likely = judged.where(F.col("family") != UNKNOWN).select("piece", "family")
+    likely = F.broadcast(likely) if likely.count() <= BROADCAST_ROWS else likely
+    told = numbered.select("piece", "words").join(likely, "piece")
 
     def alike(family: str) -> Column:
         spelled = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
@@ -301,8 +306,8 @@ def classify(pieces: DataFrame, model: LicenceModel | None = None, least: float
     for family in TEMPLATES:
         confirmed = F.when(F.col("family") == family, alike(family)).otherwise(confirmed)
     sure = told.select("piece", confirmed.alias("confirmed"))
-    out = numbered.join(judged.select("piece", "family", "probability"), "piece").join(sure, "piece", "left")
-    return out.select("key", "mark", "place", "words", "family", "probability", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    known = judged.join(sure, "piece", "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    return known.groupBy("key", "mark", "place").agg(*[F.first(c).alias(c) for c in ("family", "probability", "confirmed")])
 
 
 def _near(notices: list[str], part: float, share: float, some: int) -> Column:
