@@ -7,9 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tesserspark.functions import constants
+from tesserspark.functions import checks, constants
+from tesserspark.functions.bins import with_bin
 
 
 def carbon_xray_form_factor(q) -> np.ndarray:
@@ -21,17 +22,21 @@ def carbon_xray_form_factor(q) -> np.ndarray:
     return sum(x * np.exp(-y * s2) for x, y in zip(a, b)) + c
 
 
-def _q(q) -> np.ndarray:
-    q = np.asarray(q, float)
-    if q.ndim != 1 or not len(q) or not np.isfinite(q).all() or (q < 0).any() or (np.diff(q) <= 0).any():
-        raise ValueError("q must be finite, nonnegative and strictly increasing")
-    return q
+#: Limits on what one Debye pattern may ask for.
+MOST_Q, MOST_BLOCK, MOST_ATOMS, MOST_BINS = 5_000, 1_024, 20_000, 1_000_000
+
 
+def debye_histogram(atoms: DataFrame, width: float, key: str = "fragment", block: int = 2_048) -> DataFrame:
+    """(key, place, n): unordered pair distances by bin within each fragment; counted where they are joined.
 
-def debye_histogram(atoms: DataFrame, width: float, key: str = "fragment") -> DataFrame:
-    """(key, place, n): unordered pair distances by bin within each fragment; counted where they are joined."""
-    right = atoms.select(F.col(key).alias("k2"), F.col("atom").alias("b"), *[F.col(x).alias(f"{x}2") for x in "xyz"])
-    both = atoms.join(right, (F.col(key) == F.col("k2")) & (F.col("atom") < F.col("b")))
+    The atoms of a fragment are dealt into blocks and blocks meet pairwise, so a large fragment is many tasks.
+    """
+    blocks = atoms.groupBy(F.col(key).alias("k0")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = atoms.join(blocks, F.col(key) == F.col("k0")).withColumn("own", F.pmod(F.xxhash64("atom"), F.col("blocks")).cast("int"))
+    left = dealt.select(key, "atom", "x", "y", "z", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
+    right = dealt.select(F.col(key).alias("k2"), F.col("atom").alias("b"), *[F.col(x).alias(f"{x}2") for x in "xyz"], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i2"), F.col("own").alias("j2"))
+    met = (F.col(key) == F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    both = left.join(right, met & ((F.col("i") < F.col("j")) | (F.col("atom") < F.col("b"))))
     d = F.sqrt(sum(((F.col(x) - F.col(f"{x}2")) ** 2 for x in "yz"), (F.col("x") - F.col("x2")) ** 2))
     return both.groupBy(key, F.floor(d / width).alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -40,7 +45,7 @@ def debye_patterns(atoms: DataFrame, q: Sequence[float], width: float = 0.001, k
     """(key, q_invA, S_q, I_per_atom, I_per_fragment) of fragments of carbon atoms (key, atom, x, y, z)."""
     spark = atoms.sparkSession
     f2 = carbon_xray_form_factor(q) ** 2
-    points = F.broadcast(spark.createDataFrame([(float(x), float(f)) for x, f in zip(_q(q), f2)], "q_invA double, f2 double"))
+    points = F.broadcast(spark.createDataFrame([(float(x), float(f)) for x, f in zip(np.asarray(q, float), f2)], "q_invA double, f2 double"))
     counts = debye_histogram(atoms, width, key)
     x = F.col("q_invA") * (F.col("place") + 0.5) * width
     kernel = F.when(x == 0, 1.0).otherwise(F.sin(x) / x)
@@ -52,67 +57,106 @@ def debye_patterns(atoms: DataFrame, q: Sequence[float], width: float = 0.001, k
 
 
 def carbon_debye_pattern(positions, q, *, pair_bin_width_A=0.001, block_size=256, max_atoms=5000, spark: SparkSession | None = None) -> DataFrame:
-    x = np.asarray(positions, float)
+    """q_invA, S_q, I_per_atom, I_per_fragment of one isolated fragment, in the order of ``q``."""
+    x, points = np.asarray(positions, float), np.asarray(q, float)
     if x.ndim != 2 or x.shape[1] != 3 or not len(x) or not np.isfinite(x).all():
         raise ValueError("positions must be finite, with three components each")
+    if points.ndim != 1 or not 0 < points.size <= MOST_Q or not np.isfinite(points).all() or (points < 0).any():
+        raise ValueError(f"q must be 1 to {MOST_Q} finite values, none of them negative")
+    if checks.whole("block_size", block_size) > MOST_BLOCK or checks.whole("max_atoms", max_atoms) > MOST_ATOMS:
+        raise ValueError(f"block_size may be {MOST_BLOCK} and max_atoms {MOST_ATOMS} at most")
     if len(x) > max_atoms:
-        raise ValueError(f"{len(x)} atoms exceed max_atoms={max_atoms}")
-    if pair_bin_width_A <= 0 or block_size < 1:
-        raise ValueError("pair_bin_width_A and block_size must be positive")
+        raise ValueError(f"{len(x)} atoms, exceeding max_atoms={max_atoms}")
+    if np.linalg.norm(np.ptp(x, axis=0)) / checks.number("pair_bin_width_A", pair_bin_width_A, above=0) >= MOST_BINS:
+        raise ValueError("the pair distances would need more than one million bins")
     spark = spark or SparkSession.active()
     atoms = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(x)], "fragment long, atom long, x double, y double, z double")
-    return debye_patterns(atoms, q, pair_bin_width_A).orderBy("q_invA").drop("fragment")
+    order = spark.createDataFrame([(k, float(v)) for k, v in enumerate(points)], "turn int, qt double")
+    curve = debye_patterns(atoms, np.unique(points), pair_bin_width_A)
+    return order.join(curve, F.col("qt") == F.col("q_invA")).orderBy("turn").select("q_invA", "S_q", "I_per_atom", "I_per_fragment")
 
 
 def graphene_discs(spark: SparkSession, sizes: Sequence[float], bond: float) -> DataFrame:
-    """Atoms (size_A, fragment, atom, x, y, z) of discs cut from a honeycomb lattice about a hexagon's center."""
+    """Atoms (requested_L_A, fragment, atom, x, y, z) of discs of area L^2 cut from a honeycomb lattice about a hexagon's center."""
     a = bond * math.sqrt(3)
-    reach = int(math.ceil(max(sizes) / 2 / a * 1.3)) + 2
+    reach = int(math.ceil(max(sizes) / math.sqrt(math.pi) / a * 1.3)) + 2
     side = spark.range(-reach, reach + 1)
     cells = side.select(F.col("id").alias("i")).crossJoin(side.select(F.col("id").alias("j")))
     basis = spark.createDataFrame([(0, 0.0, bond), (1, 0.0, -bond)], "b int, bx double, by double")
     points = cells.crossJoin(F.broadcast(basis)).select(((F.col("i") + F.col("j") / 2) * a + F.col("bx")).alias("x"), (F.col("j") * a * math.sqrt(3) / 2 + F.col("by")).alias("y"), "i", "j", "b")
-    wanted = F.broadcast(spark.createDataFrame([(k, float(s)) for k, s in enumerate(sizes)], "fragment long, size_A double"))
-    inside = points.crossJoin(wanted).where(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= F.col("size_A") * F.col("size_A") / 4 + 1e-9)
+    wanted = F.broadcast(spark.createDataFrame([(k, float(s)) for k, s in enumerate(sizes)], "fragment long, requested_L_A double"))
+    inside = points.crossJoin(wanted).where(F.col("x") * F.col("x") + F.col("y") * F.col("y") <= F.col("requested_L_A") * F.col("requested_L_A") / math.pi + 1e-10)
     key = (F.col("i") + reach) * (4 * reach + 4) + (F.col("j") + reach) * 2 + F.col("b")
-    return inside.select("size_A", "fragment", key.alias("atom"), "x", "y", F.lit(0.0).alias("z"))
+    return inside.select("requested_L_A", "fragment", key.alias("atom"), "x", "y", F.lit(0.0).alias("z"))
+
+
+def power_law(sizes: np.ndarray, values: np.ndarray) -> dict:
+    """Coefficient and exponent of a line through the logarithms, the exponent's standard error, and the share of variance it explains."""
+    x, y = np.log(sizes), np.log(values)
+    dx, dy = x - x.mean(), y - y.mean()
+    exponent = float(dx @ dy / (dx @ dx))
+    rest, spread = float(((dy - exponent * dx) ** 2).sum()), float(dy @ dy)
+    return {"coefficient": math.exp(y.mean() - exponent * x.mean()), "exponent": exponent, "exponent_stderr": math.sqrt(rest / (len(x) - 2) / float(dx @ dx)), "log_r_squared": 1 - rest / spread if spread else 0.0}
 
 
 def calibrate_graphene_diffraction(sizes_A=(8, 10, 15, 22, 30, 40), *, bond_length_A=1.42, q_window=(2.5, 3.6), q_step=0.005, pair_bin_width_A=0.001, max_atoms=5000, spark: SparkSession | None = None) -> dict:
-    """Peak intensity of graphene discs by size, and the exponent of a log-log line through it."""
+    """Peak intensity of graphene discs by size, and the exponents of power laws through it.
+
+    A disc's size is the root of the area that its atoms have in a sheet.  The fit needs three distinct
+    sizes, and peaks inside the window; else the status is ``review`` and there is no exponent.
+    """
     spark = spark or SparkSession.active()
-    sizes = [float(s) for s in sizes_A]
-    if len(sizes) < 3 or any(not math.isfinite(s) or s <= 0 for s in sizes) or len(set(sizes)) != len(sizes):
-        raise ValueError("sizes_A needs three distinct positive sizes or more")
-    low, high = map(float, q_window)
-    if not 0 <= low < high or q_step <= 0:
-        raise ValueError("q_window and q_step must be positive and ordered")
-    q = low + q_step * np.arange(int(math.floor((high - low) / q_step + 1e-9)) + 1)
-    atoms = graphene_discs(spark, sizes, bond_length_A).persist()
-    counts = atoms.groupBy("fragment", "size_A").agg(F.count(F.lit(1)).alias("n_atoms"))
-    if (most := counts.agg(F.max("n_atoms")).first()[0]) is None or most > max_atoms:
-        raise ValueError(f"a disc has {most} atoms; max_atoms={max_atoms}")
-    patterns = debye_patterns(atoms.drop("size_A"), q, pair_bin_width_A).join(counts, "fragment")
+    sizes = [checks.number("size", s, above=0) for s in sizes_A]
+    if not 3 <= len(sizes) <= 20:
+        raise ValueError(f"{len(sizes)} sizes; a calibration takes 3 to 20")
+    bond, step = checks.number("bond_length_A", bond_length_A, above=0), checks.number("q_step", q_step, above=0)
+    low, high = checks.interval("q_window", *q_window)
+    if low == 0 or math.ceil((high - low) / step) >= MOST_Q:
+        raise ValueError(f"q_window must begin above 0 and hold at most {MOST_Q} points")
+    q = np.linspace(low, high, math.ceil((high - low) / step) + 1)
+    area = 3 * math.sqrt(3) * bond**2 / 4  # of an atom in a sheet
+    if max(sizes) ** 2 / area > 1.2 * checks.whole("max_atoms", max_atoms):
+        raise ValueError(f"a disc of {max(sizes):g} A passes the resource limit of {max_atoms} atoms")
+    atoms = graphene_discs(spark, sizes, bond)
+    counts = atoms.groupBy("fragment", "requested_L_A").agg(F.count(F.lit(1)).alias("atom_count")).withColumn("area_A2", F.col("atom_count") * area).withColumn("L_A", F.sqrt("area_A2"))
+    numbers = [r["atom_count"] for r in counts.collect()]  # 20 rows at most
+    if len(numbers) < len(sizes) or max(numbers) > max_atoms:
+        raise ValueError(f"a disc is empty or passes the resource limit of {max_atoms} atoms")
+    patterns = debye_patterns(atoms.drop("requested_L_A"), q, pair_bin_width_A).join(counts, "fragment")
     order = F.struct(F.col("I_per_fragment"), -F.col("q_invA"))  # of equal heights the first
-    peaks = patterns.groupBy("size_A", "n_atoms").agg(F.max("I_per_fragment").alias("peak_intensity"), F.max_by("q_invA", order).alias("peak_q_invA"), F.max_by("S_q", order).alias("peak_S_q")).orderBy("size_A")
-    x, y = F.log("size_A"), F.log("peak_intensity")
-    fit = peaks.agg(F.regr_slope(y, x).alias("intensity_exponent"), F.regr_intercept(y, x).alias("log_amplitude"), F.regr_r2(y, x).alias("r_squared"), F.count(F.lit(1)).alias("n_sizes"))
-    return {"summary": fit, "fragments": peaks, "patterns": patterns.select("size_A", "q_invA", "S_q", "I_per_atom", "I_per_fragment")}
-
-
-def incomplete_gamma(s: float, x: float) -> float:
-    """Regularized lower incomplete gamma function: a series below s + 1, a continued fraction above."""
+    highest = [F.max_by("I_per_atom", order).alias("Imax_per_atom"), F.max("I_per_fragment").alias("Imax_per_fragment"), F.max_by("q_invA", order).alias("peak_q_invA")]
+    peaks = patterns.groupBy("fragment", "L_A", "requested_L_A", "atom_count", "area_A2").agg(*highest)
+    rows = [r.asDict() for r in peaks.withColumn("peak_at_boundary", F.col("peak_q_invA").isin(float(q[0]), float(q[-1]))).orderBy("fragment").drop("fragment").collect()]
+    distinct, bounded = len({r["L_A"] for r in rows}) >= 3, any(r["peak_at_boundary"] for r in rows)
+    faults = [text for broken, text in ((bounded, "a peak lies on the edge of q_window"), (not distinct, "fewer than three distinct sizes of discs")) if broken]
+    summary = {
+        "status": "review" if faults else "pass", "reason": "; ".join(faults) or "isolated small discs; larger sizes are an extrapolation", "bond_length_A": bond, "pair_bin_width_A": float(pair_bin_width_A),
+        "q_min_invA": low, "q_max_invA": high, "q_step_invA": float(q[1] - q[0]), "size_convention": "sqrt_atom_count_times_bulk_graphene_area_per_atom", "intensity_convention": "coherent_raw_Debye_per_fragment_in_electron_squared",
+        "reference_exponent": 2.5, "exponent": None, "coefficient": None, "per_atom_exponent": None, "fragment_count": len(rows), "max_atom_count": max(numbers),
+    }
+    if not faults:
+        actual = np.array([r["L_A"] for r in rows])
+        each = power_law(actual, np.array([r["Imax_per_atom"] for r in rows]))
+        summary |= power_law(actual, np.array([r["Imax_per_fragment"] for r in rows]))
+        summary |= {f"per_atom_{k}": each[k] for k in ("exponent", "exponent_stderr", "log_r_squared")}
+    columns = "L_A double, requested_L_A double, atom_count long, area_A2 double, Imax_per_atom double, Imax_per_fragment double, peak_q_invA double, peak_at_boundary boolean, predicted_Imax_per_fragment double"
+    fragments = [(*r.values(), None if faults else summary["coefficient"] * r["L_A"] ** summary["exponent"]) for r in rows]
+    return {"summary": summary, "fragments": spark.createDataFrame(fragments, columns), "patterns": patterns.select("L_A", "q_invA", "S_q", "I_per_atom", "I_per_fragment")}
+
+
+def upper_gamma_share(s: float, x: float) -> float:
+    """Regularized upper incomplete gamma function: one less a series below s + 1, a continued fraction above."""
     if x <= 0:
-        return 0.0
+        return 1.0
     front = math.exp(-x + s * math.log(x) - math.lgamma(s))
     if x < s + 1:
         term = total = 1 / s
         n = s
-        while abs(term) > abs(total) * 1e-15:
+        while abs(term) > abs(total) * 1e-16:
             n += 1
             term *= x / n
             total += term
-        return total * front
+        return 1 - total * front
     b = x + 1 - s
     c, d = 1e300, 1 / b
     h = d
@@ -124,163 +168,269 @@ def incomplete_gamma(s: float, x: float) -> float:
         h *= d * c
         if abs(d * c - 1) < 1e-15:
             break
-    return 1 - front * h
+    return front * h
+
+
+def _largest_deviation(sizes: DataFrame, n: int, support: float, scale: float, cells: int = 256) -> float:
+    """Largest distance of the sizes' distribution function from that of the exponential beyond ``support``.
+
+    Distinct sizes are dealt into cells of about equally many, by their quantiles, and summed up within
+    each; what lies in the cells before is added to all of a cell.
+    """
+    ranks = sizes.groupBy("size_A").agg(F.count(F.lit(1)).alias("c"))
+    cuts = ranks.agg(F.percentile_approx("size_A", [k / cells for k in range(1, cells)], 10_000).alias("cuts")).first()["cuts"]
+    listed = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))])
+    celled = ranks.withColumn("cell", F.size(F.filter(listed, lambda x: x < F.col("size_A"))))
+    totals = celled.groupBy("cell").agg(F.sum("c").alias("m"))
+    before = F.coalesce(F.sum("m").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a cell
+    starts = F.broadcast(totals.select(F.col("cell").alias("k"), before.alias("start")))
+    upto = F.sum("c").over(Window.partitionBy("cell").orderBy("size_A").rowsBetween(Window.unboundedPreceding, 0))
+    stood = celled.withColumn("upto", upto).join(starts, F.col("cell") == F.col("k"))
+    model = 1 - F.exp(-(F.col("size_A") - support) / scale)
+    top = F.col("start") + F.col("upto")
+    return float(stood.agg(F.max(F.greatest(F.abs(model - top / float(n)), F.abs(model - (top - F.col("c")) / float(n))))).first()[0])
+
+
+#: Bins of a size histogram at most, and the deviation beyond which an exponential fit is to be reviewed.
+MOST_SIZE_BINS, DEVIATION = 100_000, 0.2
+_SIZE_BINS = "k int, sqrt_area_size_A double, bin_lower_A double, bin_upper_A double, number_fit_density double, weighted_fit_density double"
 
 
 def summarize_crystallite_size_distribution(sizes_A: DataFrame | Sequence[float], *, intensity_exponent=2.5, minimum_samples=20, support_min_A=None, bin_width_A=1.0, diffraction_size_A=None, spark: SparkSession | None = None) -> dict:
-    """Moments, mode and an exponential tail fit (maximum likelihood above a support) of finite sizes.
+    """Moments by number and by size to a power, their histogram, and an exponential beyond a lower support, by maximum likelihood.
 
-    ``sizes_A`` is a table with a column size_A, or numbers.  An empty input has an empty curve.
+    ``sizes_A`` is a table with a column size_A, or numbers; sizes must be positive.  The curve has a row
+    for every bin between the least and the greatest size.  There is no fit for few samples, for fewer
+    than five distinct sizes, or for a spread far below the bins; a poor one has the status ``review``.
     """
     spark = spark or (sizes_A.sparkSession if isinstance(sizes_A, DataFrame) else SparkSession.active())
-    df = sizes_A.select(F.col("size_A").cast("double")) if isinstance(sizes_A, DataFrame) else spark.createDataFrame([(float(s),) for s in sizes_A], "size_A double")
-    if bin_width_A <= 0 or minimum_samples < 1:
-        raise ValueError("bin_width_A and minimum_samples must be positive")
-    w = F.pow(F.col("size_A"), F.lit(float(intensity_exponent)))
-    m = df.agg(F.count("size_A").alias("n"), F.avg("size_A").alias("mean"), (F.sum(w * F.col("size_A")) / F.sum(w)).alias("weighted"), F.percentile("size_A", 0.5).alias("median"), F.min("size_A").alias("least"), F.max("size_A").alias("most")).first()
-    if m["n"] and m["least"] <= 0:
-        raise ValueError("sizes must be positive")
-    binned = df.groupBy(F.floor(F.col("size_A") / bin_width_A).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"))
-    total = binned.agg(F.sum("n").alias("tn"), F.sum("w").alias("tw"))
-    curve = binned.crossJoin(total).select(((F.col("k") + 0.5) * bin_width_A).alias("size_A"), "n", (F.col("n") / F.col("tn")).alias("number_probability"), (F.col("w") / F.col("tw")).alias("intensity_probability")).orderBy("size_A")
-    summary = {"n_samples": int(m["n"]), "number_mean_A": m["mean"], "intensity_mean_A": m["weighted"], "median_A": m["median"], "mode_A": None, "status": "empty", "support_min_A": None, "decay_length_A": None, "ks_deviation": None, "diffraction_size_A": diffraction_size_A}
-    if not m["n"]:
-        return {"summary": summary, "curve": curve}
-    top = curve.orderBy(F.col("n").desc(), "size_A").first()
-    support = float(m["least"] if support_min_A is None else support_min_A)
-    tail = df.where(F.col("size_A") >= support)
-    t = tail.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("size_A") - support).alias("mean")).first()
-    summary |= {"mode_A": top["size_A"], "support_min_A": support, "status": "few_samples" if t["n"] < minimum_samples else "ok", "decay_length_A": t["mean"]}
-    out = {"summary": summary, "curve": curve}
-    if t["n"] and t["mean"] and t["mean"] > 0:
-        length = float(t["mean"])
-        ranks = tail.groupBy("size_A").agg(F.count(F.lit(1)).alias("c"))
-        from pyspark.sql import Window
-
-        upto = F.sum("c").over(Window.orderBy("size_A").rowsBetween(Window.unboundedPreceding, 0)) / float(t["n"])  # over distinct finite sizes of a summary table
-        model = 1 - F.exp(-(F.col("size_A") - support) / length)
-        ks = ranks.select(upto.alias("hi"), (F.col("c") / float(t["n"])).alias("p"), model.alias("m")).agg(F.max(F.greatest(F.abs(F.col("hi") - F.col("m")), F.abs(F.col("hi") - F.col("p") - F.col("m"))))).first()[0]
-        summary["ks_deviation"] = float(ks)
-        if summary["status"] == "ok" and ks > 0.2:
-            summary["status"] = "review"
-        grid = np.linspace(support, max(float(m["most"]), support + 5 * length), 400)
-        density = np.exp(-(grid - support) / length) / length
-        # the intensity-weighted tail, normalized by the incomplete gamma function's complement
-        s = intensity_exponent + 1
-        whole = length**intensity_exponent * math.gamma(s) * (1 - incomplete_gamma(s, support / length)) * math.exp(support / length)
-        out["fit_curve"] = spark.createDataFrame([(float(x), float(d), float(x**intensity_exponent * d / whole)) for x, d in zip(grid, density)], "size_A double, number_density double, intensity_density double")
-    return out
+    df = sizes_A.select(F.col("size_A").cast("double").alias("size_A")) if isinstance(sizes_A, DataFrame) else spark.createDataFrame([(float(s),) for s in sizes_A], "size_A double")
+    power, width, least_samples = checks.number("intensity_exponent", intensity_exponent, least=0), checks.number("bin_width_A", bin_width_A, above=0), checks.whole("minimum_samples", minimum_samples, 3)
+    if diffraction_size_A is not None:
+        diffraction_size_A = checks.number("diffraction_size_A", diffraction_size_A, above=0)
+    good = F.col("size_A").isNotNull() & ~F.isnan("size_A") & (F.col("size_A") > 0) & (F.col("size_A") < float("inf"))
+    first = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(~good).alias("bad"), F.min("size_A").alias("least"), F.max("size_A").alias("most")).first()
+    n, least, most = first["n"], first["least"], first["most"]
+    if first["bad"]:
+        raise ValueError(f"{first['bad']} sizes are not finite and positive")
+    support = (least if n else 0.0) if support_min_A is None else checks.number("support_min_A", support_min_A, least=0)
+    if n and support > least + 1e-9:
+        raise ValueError(f"support_min_A is {support:g}, beyond the least size {least:g}")
+    summary = {
+        "count": n, "number_mean_A": None, "number_median_A": None, "weighted_mean_A": None, "weighted_empirical_mode_A": None, "exponential_scale_A": None, "weighted_fit_mode_A": None, "fit_status": "unavailable",
+        "fit_reason": "there are no sizes", "intensity_exponent": power, "support_min_A": support, "support_origin": "sample_minimum" if support_min_A is None else "caller_specified", "bin_width_A": width, "diffraction_size_A": diffraction_size_A,
+    }
+    columns = ["sqrt_area_size_A", "bin_lower_A", "bin_upper_A", "count", "number_density", "weighted_density", "number_fit_density", "weighted_fit_density"]
+    if not n:
+        return {"summary": summary, "curve": spark.createDataFrame([], ", ".join(f"{c} {'long' if c == 'count' else 'double'}" for c in columns))}
+    begin = math.floor(least / width)
+    bins = math.floor(most / width) + 1 - begin
+    if bins > MOST_SIZE_BINS:
+        raise ValueError(f"{bins} bins between the least and the greatest size, more than {MOST_SIZE_BINS}")
+    edges = begin * width + width * np.arange(bins + 1)
+
+    weight = F.pow(F.col("size_A") / most, F.lit(power))  # relative to the greatest, so no power overflows
+    below = [] if diffraction_size_A is None else [F.avg((F.col("size_A") < diffraction_size_A).cast("int")).alias("nb"), (F.sum(F.when(F.col("size_A") < diffraction_size_A, weight).otherwise(0.0)) / F.sum(weight)).alias("wb")]
+    m = df.agg(F.avg("size_A").alias("mean"), F.percentile("size_A", 0.5).alias("median"), (F.sum(weight * F.col("size_A")) / F.sum(weight)).alias("weighted"), F.sum(weight).alias("weights"), F.avg(F.col("size_A") - support).alias("scale"), *below).first()
+    counted = with_bin(df.withColumn("w", weight), F.col("size_A"), edges, "k").groupBy("k").agg(F.count(F.lit(1)).alias("count"), F.sum("w").alias("w"))
+    mode = counted.orderBy(F.col("w").desc(), "k").first()["k"]
+    summary |= {"number_mean_A": m["mean"], "number_median_A": m["median"], "weighted_mean_A": m["weighted"], "weighted_empirical_mode_A": float(edges[mode] + edges[mode + 1]) / 2, "min_size_A": least, "max_size_A": most}
+    if diffraction_size_A is not None:
+        summary |= {"number_fraction_below_diffraction_size": m["nb"], "weighted_fraction_below_diffraction_size": m["wb"]}
+
+    scale, distinct = float(m["scale"]), df.select(F.round("size_A", 6)).distinct().limit(5).count()
+    if n < least_samples:
+        fault = f"{n} sizes; a fit needs {least_samples}"
+    elif distinct < 5 or scale <= max(1e-8, 0.05 * width):
+        fault = "the sizes are too few distinct ones, or lie too close to their support"
+    else:
+        fault = ""
+    if fault:
+        summary["fit_reason"] = fault
+        share = [(None, None)] * bins
+    else:
+        deviation = _largest_deviation(df, n, support, scale)
+        poor = deviation > DEVIATION
+        summary |= {
+            "fit_status": "review" if poor else "pass", "fit_reason": f"the distribution is {deviation:.2f} from the exponential" if poor else "exponential beyond the support, by maximum likelihood",
+            "exponential_scale_A": scale, "weighted_fit_mode_A": max(support, power * scale), "exponential_cdf_max_deviation": deviation, "exponential_cdf_review_threshold": DEVIATION,
+        }
+        x = np.maximum(edges, support)
+        beyond = np.exp(-(x - support) / scale)
+        heavy = np.array([upper_gamma_share(power + 1, v / scale) for v in x]) / upper_gamma_share(power + 1, support / scale)
+        share = [(float(a), float(b)) for a, b in zip(-np.diff(beyond) / width, -np.diff(heavy) / width)]
+    rows = [(k, float(a + b) / 2, float(a), float(b), *fits) for k, (a, b, fits) in enumerate(zip(edges[:-1], edges[1:], share))]
+    joined = spark.createDataFrame(rows, _SIZE_BINS).join(counted, "k", "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+    curve = joined.withColumns({"number_density": F.col("count") / (n * width), "weighted_density": F.coalesce("w", F.lit(0.0)) / (m["weights"] * width)}).orderBy("k").select(*columns)
+
+    points = []
+    if not fault:
+        peak = max(support, power * scale)
+        norm = (power + 1) * math.log(scale) + math.lgamma(power + 1) + math.log(upper_gamma_share(power + 1, support / scale))
+        for v in np.unique(np.append(np.linspace(support, max(most, power * scale, support + 6 * scale), 300), peak)):
+            logged = (power * math.log(v) if v > 0 else 0.0 if power == 0 else -math.inf) - v / scale - norm
+            points.append((float(v), math.exp(-(v - support) / scale) / scale, math.exp(logged)))
+    fit = spark.createDataFrame(points, "sqrt_area_size_A double, number_fit_density double, weighted_fit_density double")
+    return {"summary": summary, "curve": curve, "fit_curve": fit}
 
 
 def split_pseudo_voigt(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Peak with its own half width and mixing on each side, without background: height, center, two widths, two mixings."""
-    height, center, left, right, ml, mr = p
-    width, mix = np.where(q < center, left, right), np.where(q < center, ml, mr)
-    z = (q - center) / width
-    return height * (mix / (1 + z * z) + (1 - mix) * np.exp(-math.log(2) * z * z))
+    """Peak with a half width on each side and one share of Lorentzian, without background: center, height, two half widths, share."""
+    center, height, left, right, mix = p
+    z2 = ((q - center) / np.where(q < center, left, right)) ** 2
+    return height * (mix / (1 + z2) + (1 - mix) * np.exp2(-z2))
 
 
-def _least_squares(residual, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, float]:
-    """Bounded Levenberg-Marquardt by projection: (solution, Jacobian, half sum of squares)."""
-    x, damp = np.clip(start, low, high), 1e-3
+def _least_squares(residual, start: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, np.ndarray, float, bool]:
+    """Bounded Levenberg-Marquardt by projection: (solution, Jacobian, sum of squares, whether it came to rest)."""
+    x, damp, rest = np.clip(start, low, high), 1e-3, False
     r = residual(x)
-    cost = 0.5 * float(r @ r)
+    cost = float(r @ r)
 
-    def jacobian(x: np.ndarray, r: np.ndarray) -> np.ndarray:
-        h = 1e-7 * np.maximum(np.abs(x), 1e-3)
-        h = np.where(x + h > high, -h, h)
-        return np.stack([(residual(x + np.eye(len(x))[k] * h[k]) - r) / h[k] for k in range(len(x))], 1)
+    def jacobian(x: np.ndarray) -> np.ndarray:
+        h = 1e-6 * np.maximum(np.abs(x), 1e-2)
+        up, down = np.minimum(x + h, high), np.maximum(x - h, low)
+        e = np.eye(len(x))
+        return np.stack([(residual(x + e[k] * (up - x)) - residual(x - e[k] * (x - down))) / (up[k] - down[k]) for k in range(len(x))], 1)
 
     for _ in range(rounds):
-        j = jacobian(x, r)
+        j = jacobian(x)
         g, a = j.T @ r, j.T @ j
         free = ~(((x <= low) & (g > 0)) | ((x >= high) & (g < 0)))
-        if not free.any() or np.abs(g[free]).max() < 1e-14 * max(1.0, cost):
+        if not free.any() or np.abs(g[free]).max() < 1e-12 * max(1.0, cost):
+            rest = True
             break
         moved = False
-        for _ in range(30):
+        for _ in range(40):
             step = np.zeros_like(x)
             m = a[np.ix_(free, free)]
             step[free] = np.linalg.lstsq(m + damp * np.diag(np.maximum(np.diag(m), 1e-12)), -g[free], rcond=None)[0]
             y = np.clip(x + step, low, high)
             ry = residual(y)
-            cy = 0.5 * float(ry @ ry)
+            cy = float(ry @ ry)
             if cy < cost:
-                moved, small = True, cost - cy <= 1e-14 * cost
+                moved, small = True, cost - cy <= 1e-12 * cost
                 x, r, cost, damp = y, ry, cy, max(damp / 5, 1e-12)
                 break
             damp *= 4
         if not moved or small:
+            rest = True
             break
-    return x, jacobian(x, r), cost
-
-
-WINDOWS = {"10": (2.4, 3.6), "11": (4.5, 5.8), "002": (1.0, 2.4)}
-SHAPE_FACTORS = {"10": 1.84, "11": 1.84, "002": 0.89}
+    return x, jacobian(x), cost, rest
+
+
+#: Windows of Q by reflection, and which reflections tell the stacking (their size is Lc, others' La).
+WINDOWS = {"10": (2.5, 3.6), "002": (1.2, 2.2), "11": (4.5, 5.7), "004": (3.2, 4.2)}
+STACKING, POINTS = ("002", "004"), 12
+
+
+def coherent_length(center: float, left: float, right: float, factor: float, instrument: float, wavelength: float | None) -> float | None:
+    """Scherrer size of a peak less the instrument's width; with a wavelength by the angles of both half heights, None where they do not exist."""
+    width = left + right
+    if instrument >= width:
+        return None
+    part = math.sqrt(1 - (instrument / width) ** 2)
+    if wavelength is None:
+        return 2 * math.pi * factor / (width * part)
+    ends = [(center + part * right) * wavelength / (4 * math.pi), (center - part * left) * wavelength / (4 * math.pi)]
+    if ends[0] >= 1 or ends[1] < 0:
+        return None
+    beta = 2 * (math.asin(ends[0]) - math.asin(ends[1]))
+    return factor * wavelength / (beta * math.cos(math.asin(center * wavelength / (4 * math.pi))))
+
+
+def _best_peak(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, bool, float]:
+    """(parameters, Jacobian, sum of squares, at rest, scale) of a peak on a line, the best of several starts; parameters 5 and 6 are the line about the middle."""
+    span, middle, step = x[-1] - x[0], (x[0] + x[-1]) / 2, float(np.median(np.diff(x)))
+    outer = np.r_[0:3, len(x) - 3 : len(x)]
+    slope, level = np.polyfit(x[outer] - middle, y[outer], 1)
+    over = y - level - slope * (x - middle)
+    scale = max(float(np.ptp(y)), 1e-8 * float(np.abs(y).max()), 1e-12)
+    thin = max(0.4 * step, 1e-5 * span)
+    low = np.array([x[0], 0, thin, thin, 0, -np.inf, -np.inf])
+    high = np.array([x[-1], 50 * scale, 2 * span, 2 * span, 1, np.inf, np.inf])
+    found = []
+    for center in {float(x[over.argmax()]), *map(float, np.quantile(x, [0.35, 0.55, 0.7]))}:
+        start = np.array([center, max(float(over.max()), 0.1 * scale), span / 8, span / 8, 0.5, level, slope])
+        found.append(_least_squares(lambda p: (split_pseudo_voigt(x, p[:5]) + p[5] + p[6] * (x - middle) - y) / scale, start, low, high))
+    return *min(found, key=lambda f: f[2]), scale
 
 
 def fit_carbon_diffraction_peak(q, intensity, *, reflection="10", q_window=None, shape_factor=None, instrument_fwhm_q=0.0, wavelength_A=None) -> dict:
-    """A split pseudo-Voigt on a line, from several starts; size L = 2 pi K / width of the intrinsic peak, with quality gates."""
-    if reflection not in WINDOWS:
-        raise ValueError(f"reflection must be one of {sorted(WINDOWS)}")
-    q, y = np.asarray(q, float), np.asarray(intensity, float)
-    if q.ndim != 1 or q.shape != y.shape or not np.isfinite(q).all() or (np.diff(q) <= 0).any():
-        raise ValueError("q must be finite and strictly increasing, with one intensity each")
-    low, high = map(float, q_window or WINDOWS[reflection])
-    if not low < high or instrument_fwhm_q < 0:
-        raise ValueError("q_window must be ordered and instrument_fwhm_q nonnegative")
-    inside = (q >= low) & (q <= high) & np.isfinite(y)
-    x, z = q[inside], y[inside]
-    if len(x) < 12:
-        raise ValueError("q_window must hold at least 12 finite points")
-    shape = float(SHAPE_FACTORS[reflection] if shape_factor is None else shape_factor)
-    scale, mid, span = max(np.ptp(z), 1e-12), 0.5 * (low + high), high - low
-    edge = max(2, len(x) // 10)
-    slope = (z[-edge:].mean() - z[:edge].mean()) / (x[-edge:].mean() - x[:edge].mean())
-    base = z[:edge].mean() + slope * (mid - x[:edge].mean())
-    over = z - base - slope * (x - mid)
-    model = lambda p: split_pseudo_voigt(x, p[:6]) + p[6] + p[7] * (x - mid)
-    lo = np.array([0, low, np.diff(x).min() / 2, np.diff(x).min() / 2, 0, 0, -np.inf, -np.inf])
-    hi = np.array([10 * scale, high, span, span, 1, 1, np.inf, np.inf])
-    best = None
-    for width in (0.05, 0.15):
-        for mix in (0.2, 0.8):
-            start = np.array([max(over.max(), 0.1 * scale), x[int(over.argmax())], width * span, width * span, mix, mix, base, slope])
-            found = _least_squares(lambda p: (model(p) - z) / scale, start, lo, hi)
-            best = found if best is None or found[2] < best[2] else best
-    p, j, cost = best
-    fwhm = float(p[2] + p[3])
-    intrinsic = math.sqrt(max(0.0, fwhm**2 - instrument_fwhm_q**2))
-    covariance = np.linalg.pinv(j.T @ j) * (2 * cost / max(1, len(x) - len(p)))
-    error = math.sqrt(max(0.0, covariance[2, 2] + covariance[3, 3] + 2 * covariance[2, 3]))
-    total = float(((z - z.mean()) ** 2).sum())
-    r2 = 1 - 2 * cost * scale**2 / total if total > 0 else 0.0
-    size = 2 * math.pi * shape / intrinsic if intrinsic > 0 else None
-    flags = []
-    if r2 < 0.9:
-        flags.append("poor_fit")
-    if p[0] < 0.02 * scale:
-        flags.append("weak_peak")
-    if min(p[1] - low, high - p[1]) < 0.02 * span:
-        flags.append("center_at_edge")
-    if size is None:
-        flags.append("instrument_limited")
+    """A split pseudo-Voigt on a line, and the size that its width stands for, unless a gate withholds it.
+
+    Missing intensities stay missing in the curve.  The status is ``unavailable`` for fewer than 12 points,
+    ``review`` with the reasons where a gate holds the size back, else ``pass``.
+    """
+    q, intensity = checks.ascending("q", q, least=0.0), np.asarray(intensity, float)
+    if intensity.shape != q.shape:
+        raise ValueError(f"{intensity.size} intensities for {q.size} points of q")
+    checks.one_of("reflection", reflection, tuple(WINDOWS))
+    low, high = checks.interval("q_window", *(q_window or WINDOWS[reflection]))
+    factor = (0.9 if reflection in STACKING else 1.0) if shape_factor is None else checks.number("shape_factor", shape_factor, above=0)
+    instrument = checks.number("instrument_fwhm_q", instrument_fwhm_q, least=0)
+    wavelength = None if wavelength_A is None else checks.number("wavelength_A", wavelength_A, above=0)
+    shown = (q >= low) & (q <= high)
+    curve = pd.DataFrame({"q_invA": q[shown], "observed": np.where(np.isfinite(intensity[shown]), intensity[shown], np.nan), "fit": np.nan, "background": np.nan, "residual": np.nan})
+    x, y = curve.dropna(subset="observed")[["q_invA", "observed"]].to_numpy().T
+    axis = "Lc" if reflection in STACKING else "La"
     summary = {
-        "reflection": reflection, "status": "ok" if not flags else "review", "flags": tuple(flags), "center_q_invA": float(p[1]), "height": float(p[0]), "fwhm_q_invA": fwhm, "fwhm_error_invA": error, "intrinsic_fwhm_q_invA": intrinsic,
-        "size_A": size, "size_error_A": size * error * fwhm / intrinsic**2 if size else None, "d_spacing_A": 2 * math.pi / float(p[1]), "r_squared": r2, "asymmetry": float((p[3] - p[2]) / fwhm), "shape_factor": shape,
-        "two_theta_deg": math.degrees(2 * math.asin(p[1] * wavelength_A / (4 * math.pi))) if wavelength_A and p[1] * wavelength_A < 4 * math.pi else None,
+        "reflection": reflection, "q_window_min_invA": low, "q_window_max_invA": high, "shape_factor": factor, "profile": "split_pseudo_voigt_linear_background", "status": "unavailable", "reason": f"{len(x)} finite points; a fit needs {POINTS}",
+        "point_count": len(x), "q_peak_invA": None, "fwhm_invA": None, "La_A": None, "La_stderr_A": None, "Lc_A": None, "Lc_stderr_A": None, "d_spacing_A": None, "size_A": None, "size_stderr_A": None,
+        "instrument_fwhm_invA": instrument, "wavelength_A": wavelength, "width_correction": "none" if instrument == 0 else "Gaussian_quadrature_approximation",
+    }
+    if len(x) < POINTS:
+        return {"summary": summary, "curve": curve}
+    p, j, squares, rest, scale = _best_peak(x, y)
+    center, height, left, right, mix = map(float, p[:5])
+    middle, step, fwhm = (x[0] + x[-1]) / 2, float(np.median(np.diff(x))), left + right
+    background = p[5] + p[6] * (curve["q_invA"] - middle)
+    curve["fit"], curve["background"] = split_pseudo_voigt(curve["q_invA"].to_numpy(), p[:5]) + background, background
+    curve["residual"] = curve["observed"] - curve["fit"]
+    noise = float(np.sqrt((curve["residual"].dropna() ** 2).mean()))
+    known = np.linalg.matrix_rank(j) == len(p)
+    covariance = np.linalg.pinv(j.T @ j) * squares / (len(x) - len(p)) if known else np.full((7, 7), np.nan)
+    width_error = float(np.sqrt(max(0.0, covariance[2:4, 2:4].sum()))) if known else None
+    core = x[(x >= center - left) & (x <= center + right)]
+    gap = np.diff(core).max() if core.size > 1 else math.inf
+    gates = {
+        "the fit did not come to rest": not rest,
+        "the peak does not rise above the residuals": height <= max(4 * noise, 0.01 * scale),
+        "the points of q do not resolve the width": fwhm < 3 * step or min(left, right) < step,
+        "half height or background reaches the edge of the window": center - left <= x[0] + 2 * step or center + right >= x[-1] - 2 * step,
+        "missing reciprocal bins interrupt the peak": core.size < 4 or gap > max(2.5 * step, fwhm / 4),
+        "the peak's parameters are not determined": not known or width_error > fwhm / 2,
+        "the instrument is as wide as the peak": instrument >= fwhm,
+    }
+    reasons = [text for text, broken in gates.items() if broken]
+    size = error = None
+    if not reasons:
+        length = lambda v: coherent_length(*v, factor, instrument, wavelength)
+        at = np.array([center, left, right])
+        size = length(at)
+        if size is None:
+            reasons.append("the peak lies beyond the angles of this wavelength")
+        else:
+            h = np.maximum(1e-6 * np.abs(at), 1e-9)
+            sides = [(length(at + e), length(at - e)) for e in np.diag(h)]
+            slope = np.array([(a - b) / (2 * d) if a and b else np.nan for (a, b), d in zip(sides, h)])
+            error = float(np.sqrt(max(0.0, slope @ covariance[np.ix_([0, 2, 3], [0, 2, 3])] @ slope)))
+    area = height * fwhm * (mix * math.pi / 2 + (1 - mix) * math.sqrt(math.pi / math.log(2)) / 2)
+    summary |= {
+        "status": "review" if reasons else "pass", "reason": "; ".join(reasons) or "the peak is resolved", "q_peak_invA": center, "q_peak_stderr_invA": float(np.sqrt(max(0.0, covariance[0, 0]))) if known else None,
+        "fwhm_invA": fwhm, "fwhm_stderr_invA": width_error, "corrected_fwhm_invA": math.sqrt(max(0.0, fwhm**2 - instrument**2)), "amplitude": height, "integrated_peak_area": area, "asymmetry_right_over_left": right / left,
+        "lorentz_fraction": mix, "residual_rms": noise, "d_spacing_A": None if reasons else 2 * math.pi / center, "size_A": size, "size_stderr_A": error, f"{axis}_A": size, f"{axis}_stderr_A": error,
     }
-    background = p[6] + p[7] * (x - mid)
-    curve = pd.DataFrame({"q_invA": x, "observed": z, "fit": model(p), "background": background, "residual": z - model(p)})
     return {"summary": summary, "curve": curve}
 
 
 def fit_peaks(curves: DataFrame, **settings) -> DataFrame:
-    """(curve_id, center, fwhm, size, r_squared, status) of every curve (curve_id, q, intensity): one group per curve, fitted side by side."""
+    """(curve_id, q_peak_invA, fwhm_invA, size_A, lorentz_fraction, status) of every curve (curve_id, q, intensity): one group per curve, fitted side by side."""
+    names = ["q_peak_invA", "fwhm_invA", "size_A", "lorentz_fraction", "status"]
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("q")
         s = fit_carbon_diffraction_peak(part["q"], part["intensity"], **settings)["summary"]
-        return pd.DataFrame([{"curve_id": part["curve_id"].iloc[0], "center_q_invA": s["center_q_invA"], "fwhm_q_invA": s["fwhm_q_invA"], "size_A": s["size_A"], "r_squared": s["r_squared"], "status": s["status"]}])
+        return pd.DataFrame([{"curve_id": part["curve_id"].iloc[0], **{k: s.get(k) for k in names}}])
 
-    return curves.groupBy("curve_id").applyInPandas(run, "curve_id string, center_q_invA double, fwhm_q_invA double, size_A double, r_squared double, status string")
+    return curves.groupBy("curve_id").applyInPandas(run, "curve_id string, q_peak_invA double, fwhm_invA double, size_A double, lorentz_fraction double, status string")

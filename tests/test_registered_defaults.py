@@ -55,4 +55,4 @@ def test_rings_of_five_to_eight(spark):
 
 def test_calibration_runs_all_sizes(spark):
     rows = __spark_entry__.queries()["graphene_calibration"](spark, SF).collect()
-    assert sorted(r.size_A for r in rows) == [8, 10, 15, 22, 30, 40]
+    assert sorted(r.requested_L_A for r in rows) == [8, 10, 15, 22, 30, 40]

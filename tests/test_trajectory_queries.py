@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tesserspark.operators import angles, carbon, clustering, coordination, diffraction, rad, rdf, scattering
+from tesserspark.operators import angles, carbon, clustering, coordination, rad, rdf, scattering
 from tesserspark.operators.cache import AnalysisCache, CacheCorruptionError, CacheMissError
 from tesserspark.operators.tables import Table
 from tesserspark.functions.transforms import quadrature_weights, spherical_bessel_transform
@@ -236,23 +236,6 @@ def test_minimum_image_with_partial_periodicity():
     assert np.allclose((got**2).sum(1), want) and np.allclose(got[:, 2], d[:, 2])
 
 
-def test_diffraction(spark):
-    q = np.linspace(2.3, 3.7, 300)
-    y = diffraction.split_pseudo_voigt(q, np.array([5, 2.95, 0.1, 0.15, 0.4, 0.6])) + 1 + 0.3 * q
-    s = diffraction.fit_carbon_diffraction_peak(q, y)["summary"]
-    assert abs(s["center_q_invA"] - 2.95) < 1e-4 and abs(s["fwhm_q_invA"] - 0.25) < 1e-3
-    x = np.random.default_rng(2).random((12, 3)) * 5
-    p = diffraction.carbon_debye_pattern(x, [0.5, 1.0, 2.0], pair_bin_width_A=1e-4, spark=spark).toPandas()
-    d = np.sqrt(((x[:, None] - x) ** 2).sum(-1))
-    assert np.allclose(p.S_q, [np.sinc(v * d / np.pi).sum() / 12 for v in (0.5, 1.0, 2.0)], atol=1e-3)
-    out = diffraction.summarize_crystallite_size_distribution([10.0 + k for k in range(30)], spark=spark)
-    assert out["summary"]["number_mean_A"] == 24.5 and out["summary"]["median_A"] == 24.5
-    assert "fit_curve" not in diffraction.summarize_crystallite_size_distribution(spark.createDataFrame([], "size_A double"))
-    assert abs(diffraction.incomplete_gamma(3.5, 2.0) - 0.2202) < 1e-3
-    with pytest.raises(ValueError, match="max_atoms"):
-        diffraction.carbon_debye_pattern(np.zeros((6, 3)), [1.0], max_atoms=5, spark=spark)
-
-
 def test_cache(spark, tmp_path, dense):
     t, *_ = dense["cube"]
     calls = []
