@@ -2,9 +2,9 @@
 
 For each center all other atoms stand in order of distance.  An atom is blocked if a closer one k
 satisfies 1/d_j^2 <= cos(theta_jk)/d_k^2; the shell ends at the first blocked atom.  All species
-take part as candidates and blockers.  The self-join is bounded: it runs over the nearest ``k`` atoms,
-found within a cutoff, and a center whose shell does not end among them is taken again with a larger
-cutoff, in the end with all atoms of its frame.
+take part as candidates and blockers.  The nearest ``k`` atoms of a center, found within a cutoff, are
+one array, cut where it stands; a center whose shell does not end among them is taken again with more
+atoms and a larger cutoff, in the end with all atoms of its frame.
 """
 
 from __future__ import annotations
@@ -12,12 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tesserspark.functions import box as cells
 from tesserspark.operators.coordination import definition_table, distribution, normalize_definitions
 from tesserspark.operators.tables import Table
 from tesserspark.plans.neighbors import neighbor_pairs, safe_radius
+from tesserspark.plans.staging import materialize
 from tesserspark.sources.trajectory import Trajectory
 
 MODES = {"directed": "directed", "mutual": "mutual", "reciprocal": "mutual", "symmetric": "mutual"}
@@ -36,26 +37,36 @@ def check_variant(name: str) -> None:
         raise ValueError("variant must be closed")
 
 
-def _ranked(pairs: DataFrame) -> DataFrame:
-    """Ranks each center's neighbors; partitions of a given number are not coalesced by size, as the work is in the pairs of neighbors."""
+def _nearest(pairs: DataFrame, most: int | None) -> DataFrame:
+    """(frame, i, si, near): each center's neighbors by distance, the nearest ``most`` of them.
+
+    Partitions of a given number are not coalesced by size, as the work is in the pairs of neighbors.
+    """
     spark = pairs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     pairs = pairs.repartition(parts, "frame", "i")
-    # coincident atoms come last and go after the ranking: a second filter pushed into the pair join would make its method too long to be compiled
+    # coincident atoms come last and are marked after the ranking: a second filter pushed into the pair join would make its method too long to be compiled
     order = Window.partitionBy("frame", "i").orderBy(F.col("d2") <= 1e-16, "d2", "j")
-    return pairs.withColumn("rank", F.row_number().over(order)).where("d2 > 1e-16")
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    ranked = ranked.where("d2 > 1e-16") if most is None else ranked.where((F.col("rank") <= most) & (F.col("d2") > 1e-16))
+    return ranked.groupBy("frame", "i", "si").agg(F.array_sort(F.collect_list(F.struct("rank", "j", "sj", "d2", "dx", "dy", "dz"))).alias("near"))
+
+
+def _cut(centers: DataFrame) -> DataFrame:
+    """Adds ``end``: the place (from 0) of the first blocked neighbor, null if there is none; it is looked for among the nearest first."""
+    near = F.col("near")
 
+    def blocked(x: Column, place: Column) -> Column:
+        def blocks(k: Column) -> Column:
+            cosine = (x["dx"] * k["dx"] + x["dy"] * k["dy"] + x["dz"] * k["dz"]) / (F.sqrt(x["d2"]) * F.sqrt(k["d2"]))
+            return (F.lit(1.0) / x["d2"]) <= cosine / k["d2"]
 
-def _ends(ranked: DataFrame, nearest: int) -> DataFrame:
-    """(frame, i, end): rank of the first blocked atom among the nearest, null if none is."""
-    near = ranked.where(F.col("rank") <= nearest)
-    far = near.select("frame", "i", F.col("rank").alias("rj"), F.col("d2").alias("dj"), *[F.col(f"d{x}").alias(f"j{x}") for x in "xyz"])
-    close = near.select(F.col("frame").alias("f2"), F.col("i").alias("i2"), F.col("rank").alias("rk"), F.col("d2").alias("dk"), *[F.col(f"d{x}").alias(f"k{x}") for x in "xyz"])
-    dot = F.col("jx") * F.col("kx") + F.col("jy") * F.col("ky") + F.col("jz") * F.col("kz")
-    cosine = dot / (F.sqrt("dj") * F.sqrt("dk"))
-    blocked = (F.lit(1.0) / F.col("dj")) <= cosine / F.col("dk")
-    met = far.join(close, (F.col("frame") == F.col("f2")) & (F.col("i") == F.col("i2")) & (F.col("rk") < F.col("rj")) & blocked)
-    return met.groupBy("frame", "i").agg(F.min("rj").alias("end"))
+        return F.exists(F.slice(near, F.lit(1), place), blocks)
+
+    # the fold stops to test once an end is found
+    step = lambda acc, p: F.when(acc.isNotNull(), acc).when(blocked(F.get(near, p), p), p).otherwise(acc)
+    found = F.aggregate(F.sequence(F.lit(1), F.size(near) - 1), F.lit(None).cast("int"), step)
+    return centers.withColumn("end", F.when(F.size(near) > 1, found))
 
 
 def _all_pairs(trajectory: Trajectory, centers: DataFrame) -> DataFrame:
@@ -71,27 +82,41 @@ def _all_pairs(trajectory: Trajectory, centers: DataFrame) -> DataFrame:
 
 
 def shells(trajectory: Trajectory, centers: Sequence[str] | None = None, nearest: int = NEAREST) -> DataFrame:
-    """(frame, i, si, j, sj, d2): the shell of every atom (of the given species)."""
+    """(frame, i, si, j, sj, d2): the shell of every atom (of the given species).
+
+    A round takes the nearest neighbors of the centers whose shell has not ended, four times as many as
+    the round before, within a radius that holds about twice as many; the last, at the safe radius, leaves
+    centers with few atoms around them, which meet all atoms of their frame.
+    """
     safe, _ = safe_radius(trajectory)
     mean = trajectory.frames.agg(F.avg("volume")).first()[0] / max(1, trajectory.n_atoms)
-    reach = min(safe, 1.3 * (3 * mean * nearest / 12.566370614359172) ** (1 / 3))  # holds about twice ``nearest`` atoms
     columns = ["frame", "i", "si", "j", "sj", "d2", "dx", "dy", "dz"]
-    ranked = _ranked(neighbor_pairs(trajectory, reach, centers=None if centers is None else list(centers)).select(*columns)).where(F.col("rank") <= nearest).persist()
-    ends = _ends(ranked, nearest)
-    done = ranked.join(ends, ["frame", "i"]).where(F.col("rank") < F.col("end"))
     wanted = trajectory.atoms if centers is None else trajectory.atoms.where(F.col("species").isin(list(centers)))
-    open_ = wanted.select("frame", F.col("atom").alias("i")).join(ends, ["frame", "i"], "left_anti")
-    # the rest, against all atoms of their frames: an end may lie anywhere, or nowhere
-    rest = _ranked(_all_pairs(trajectory, open_))
-    last = _ends(rest, 2**31 - 1)
-    others = rest.join(last, ["frame", "i"], "left").where(F.col("end").isNull() | (F.col("rank") < F.col("end")))
-    keep = ["frame", "i", "si", "j", "sj", "d2"]
-    return done.select(*keep).unionByName(others.select(*keep))
+    names = None if centers is None else list(centers)
+    found, open_, reach = [], None, 0.0
+    while reach < safe:
+        reach = min(safe, 1.3 * (3 * mean * nearest / 12.566370614359172) ** (1 / 3))
+        pairs = neighbor_pairs(trajectory, reach, centers=names, only=open_).select(*columns)
+        shell = F.when(F.col("end").isNotNull(), F.slice("near", F.lit(1), F.col("end")))
+        done = materialize(_cut(_nearest(pairs, nearest)).select("frame", "i", "si", shell.alias("shell")).where("shell is not null"), "shells")
+        found.append(done)
+        left = wanted.select("frame", F.col("atom").alias("i")) if open_ is None else open_
+        open_ = materialize(left.join(done.select("frame", "i"), ["frame", "i"], "left_anti"), "open")
+        if open_.isEmpty():
+            break
+        nearest *= 4
+    else:  # an end may lie anywhere in the frame, or nowhere
+        rest = _cut(_nearest(_all_pairs(trajectory, open_), None))
+        found.append(rest.select("frame", "i", "si", F.when(F.col("end").isNotNull(), F.slice("near", F.lit(1), F.col("end"))).otherwise(F.col("near")).alias("shell")))
+    out = None
+    for part in found:
+        rows = part.select("frame", "i", "si", F.explode("shell").alias("x")).select("frame", "i", "si", "x.j", "x.sj", "x.d2")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def with_mutual(every: DataFrame) -> DataFrame:
     """Adds is_mutual: whether the neighbor's own shell holds the center.  ``every`` must have all shells, unfiltered."""
-    every = every.persist()
     back = every.select(F.col("frame").alias("f2"), F.col("i").alias("j2"), F.col("j").alias("i2"))
     joined = every.join(back, (F.col("frame") == F.col("f2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2")), "left")
     return joined.withColumn("is_mutual", F.col("f2").isNotNull()).drop("f2", "i2", "j2")

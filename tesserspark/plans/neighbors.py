@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tesserspark.functions import box as cells
 from tesserspark.sources.trajectory import Trajectory
 
-MAX_CELLS = 64
-
 
 def check_radius(trajectory: Trajectory, r_max: float) -> None:
     """Raises if the cutoff is beyond the safe radius of some frame: there the nearest image is not the only one."""
@@ -32,12 +30,12 @@ def safe_radius(trajectory: Trajectory) -> tuple[float, int]:
 
 def _located(trajectory: Trajectory, r_max: float, species: list[str] | None) -> DataFrame:
     """Atoms with fractional coordinates and their cells."""
-    frames = trajectory.frames.select(F.col("frame").alias("__f"), *cells.H, *cells.G, *[F.greatest(F.lit(1), F.least(F.lit(MAX_CELLS), F.floor(F.col(f"w{k}") / r_max))).cast("int").alias(f"n{k}") for k in (1, 2, 3)])
+    frames = trajectory.frames.select(F.col("frame").alias("__f"), *cells.H, *cells.G, *[F.greatest(F.lit(1), F.floor(F.col(f"w{k}") / r_max)).cast("long").alias(f"n{k}") for k in (1, 2, 3)])
     atoms = trajectory.atoms if species is None else trajectory.atoms.where(F.col("species").isin(sorted(set(species))))
     joined = atoms.join(frames, F.col("frame") == F.col("__f")).drop("__f")
     xyz = [F.col(k) for k in "xyz"]
     with_f = joined.withColumns({f"f{k}": cells.fractional(*xyz, k) for k in (1, 2, 3)})
-    return with_f.withColumns({f"k{k}": F.least(F.col(f"n{k}") - 1, F.floor((F.col(f"f{k}") - F.floor(f"f{k}")) * F.col(f"n{k}")).cast("int")) for k in (1, 2, 3)})
+    return with_f.withColumns({f"k{k}": F.least(F.col(f"n{k}") - 1, F.floor((F.col(f"f{k}") - F.floor(f"f{k}")) * F.col(f"n{k}")).cast("long")) for k in (1, 2, 3)})
 
 
 def _around(k: int) -> Column:
@@ -48,17 +46,20 @@ def _cell(x, y, z) -> Column:
     return (x * F.col("n2") + y) * F.col("n3") + z
 
 
-def neighbor_pairs(trajectory: Trajectory, r_max: float, *, centers: list[str] | None = None, neighbors: list[str] | None = None, half: bool = False, check: bool = True) -> DataFrame:
+def neighbor_pairs(trajectory: Trajectory, r_max: float, *, centers: list[str] | None = None, neighbors: list[str] | None = None, half: bool = False, check: bool = True, only: DataFrame | None = None) -> DataFrame:
     """frame, i, si, j, sj, d2, dx, dy, dz, tx, ty, tz of every pair closer than r_max.
 
     The displacement runs from i to the nearest image of j, whose translation in cell vectors is
     (tx, ty, tz) relative to the coordinates as given.  An atom is no neighbor of itself; coincident
     atoms are.  ``half``: each unordered pair once, with i < j (then both sides must allow the same species).
+    ``only``: a table (frame, i) of the centers wanted.
     """
     if check:
         check_radius(trajectory, r_max)
     around = F.flatten(F.transform(_around(1), lambda x: F.flatten(F.transform(_around(2), lambda y: F.transform(_around(3), lambda z: _cell(x, y, z))))))
     left = _located(trajectory, r_max, centers).select("frame", F.col("atom").alias("i"), F.col("species").alias("si"), *[F.col(f"f{k}").alias(f"p{k}") for k in (1, 2, 3)], *cells.H, F.explode(around).alias("cell"))
+    if only is not None:
+        left = left.join(only.select("frame", "i"), ["frame", "i"], "left_semi")
     right = _located(trajectory, r_max, neighbors).select(F.col("frame").alias("__frame"), F.col("atom").alias("j"), F.col("species").alias("sj"), *[F.col(f"f{k}").alias(f"q{k}") for k in (1, 2, 3)], _cell(F.col("k1"), F.col("k2"), F.col("k3")).alias("__cell"))
     own = F.col("i") < F.col("j") if half else F.col("i") != F.col("j")
     # the work is in the pairs, not in the bytes that go in: partitions of a given number are not coalesced by size

@@ -13,6 +13,7 @@ from tesserspark.functions.bins import bin_edges
 from tesserspark.operators import angles, carbon, clustering, coordination, diffraction, rad, rdf, scattering
 from tesserspark.operators.tables import Table
 from tesserspark.plans.neighbors import neighbor_pairs
+from tesserspark.plans.staging import materialize
 from tesserspark.sources.trajectory import project_embeddings
 
 ELEMENTS = {"A": "O", "B": "Li", "C": "F"}
@@ -155,7 +156,7 @@ def percolation_clusters(spark, d):
 
 def _scattering(spark, d, convention="faber-ziman", probes=("neutron", "xray")):
     t = rdf.compute_rdfs(project_embeddings(spark, d), bins=100, r_range=(0.0, 8.0))
-    return scattering.compute_scattering(Table(t.long.persist(), t.axis, t.labels, t.attrs), elements=ELEMENTS, convention=convention, probes=probes, q_range=(0.5, 10.0))
+    return scattering.compute_scattering(Table(materialize(t.long, "rdf"), t.axis, t.labels, t.attrs), elements=ELEMENTS, convention=convention, probes=probes, q_range=(0.5, 10.0))
 
 
 def partial_structure_factors(spark, d):

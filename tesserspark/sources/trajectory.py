@@ -9,6 +9,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserspark.functions import box as cells
+from tesserspark.sources.selections import selected
+
+#: Frames that a selection lists in its predicate; more are joined.
+MOST_LISTED = 1_000
 
 
 @dataclass(frozen=True)
@@ -115,19 +119,19 @@ class Trajectory:
         chosen = list(self.resolve_frame_indices(frames))
         if not chosen:
             raise ValueError("frames must select at least one frame")
-        keep = F.col("frame").isin(chosen)
-        return Trajectory(self.frames.where(keep), self.atoms.where(keep), self.filename, self.metadata)
-
-    def select_atoms(self, selection: str) -> Trajectory:
-        """Atoms that satisfy a SQL predicate; ``name X`` and ``index a:b`` are understood too."""
-        words = selection.split()
-        if len(words) >= 2 and words[0] in ("name", "type", "element"):
-            keep = F.col("species").isin(words[1:])
-        elif len(words) == 2 and words[0] == "index":
-            low, _, high = words[1].partition(":")
-            keep = F.col("atom").between(int(low), int(high or low))
+        if len(chosen) > MOST_LISTED:  # a long list is a table
+            listed = F.broadcast(self.frames.sparkSession.createDataFrame([(k,) for k in chosen], "wanted long"))
+            kept = [df.join(listed, F.col("frame") == F.col("wanted"), "left_semi") for df in (self.frames, self.atoms)]
         else:
-            keep = F.expr(selection)
+            kept = [df.where(F.col("frame").isin(chosen)) for df in (self.frames, self.atoms)]
+        return Trajectory(*kept, self.filename, self.metadata)
+
+    def select_atoms(self, selection: str, *others: str, where: str | None = None) -> Trajectory:
+        """Atoms of any of the selections, in the language of ``selections``; ``where`` is a further SQL predicate on the atoms' columns."""
+        keep = selected(selection)
+        for other in others:
+            keep = keep | selected(other)
+        keep = keep if where is None else keep & F.expr(where)
         return Trajectory(self.frames, self.atoms.where(keep), self.filename, self.metadata)
 
     def positions_of(self, species: str) -> DataFrame:

@@ -1,7 +1,10 @@
-"""XYZ and extended-XYZ files: a splittable data source, order checks and normalization.
+"""XYZ and extended-XYZ files: frames found by tasks, read in Arrow batches; order checks and normalization.
 
-The driver scans a file once for frame offsets; each partition is a run of whole frames that its
-reader seeks to, so listed frames that are not asked for are never read.
+A frame's head is a line with nothing but a number, which no line of an atom is, though a comment may
+be.  Tasks scan byte ranges for such lines; the driver follows the heads from the first on, each by the
+line number that the one before gives, so a comment is never taken for a head.  What it holds is one
+row a frame.  Atoms are read by tasks that seek to their frames, so frames that are not asked for are
+never read.  Files may lie on any file system that ``pyarrow.fs`` opens by its address.
 """
 
 from __future__ import annotations
@@ -10,9 +13,13 @@ import hashlib
 import math
 import os
 import re
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -20,7 +27,9 @@ from tesserspark.functions.box import H
 from tesserspark.sources.trajectory import Trajectory
 
 _KEY = {k: re.compile(rf'{k}\s*=\s*(?:"([^"]*)"|(\S+))', re.I) for k in ("Lattice", "Origin", "Properties")}
-FRAMES_A_PARTITION = 16
+#: Bytes of a range that a task scans for heads, and of the frames that one partition of atoms holds, about.
+RANGE_BYTES, PARTITION_BYTES = 64 << 20, 16 << 20
+ATOMS = "frame long, atom long, species string, x double, y double, z double"
 
 
 def header_value(line: str, key: str) -> str | None:
@@ -71,30 +80,144 @@ def origin_of(line: str) -> list[float] | None:
 class FrameOffset:
     index: int
     offset: int
+    size: int  # bytes
     atoms: int
     comment: str
 
 
-def frame_offsets(path: str) -> list[FrameOffset]:
-    """One pass over the file; a truncated last frame is an error, not a shorter trajectory."""
-    out = []
-    with open(path, "rb") as f:
-        while True:
-            at = f.tell()
-            head = f.readline()
-            if not head.strip():
-                if not head:
-                    return out
-                continue
-            try:
-                n = int(head)
-            except ValueError:
-                raise ValueError(f"frame {len(out)} of {path} does not begin with an atom count") from None
-            comment = f.readline()
-            for _ in range(n):
-                if not f.readline().strip():
-                    raise ValueError(f"frame {len(out)} of {path} is incomplete")
-            out.append(FrameOffset(len(out), at, n, comment.decode().rstrip("\r\n")))
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def scan_range(path: str, begin: int, end: int, chunk: int = 8 << 20) -> tuple[int, list[tuple[int, int, int, str]], list[int]]:
+    """Of the lines that begin in [begin, end): how many, the possible heads (line, offset, number, next line), and the blank ones."""
+    where, name = _opened(path)
+    lines, heads, blank = 0, [], []
+    with where.open_input_file(name) as f:
+        at = begin
+        if begin:  # the first line that begins here comes after the line break before it
+            f.seek(begin - 1)
+            rest = f.read(chunk)
+            at = begin - 1
+            while b"\n" not in rest and rest:
+                at += len(rest)
+                rest = f.read(chunk)
+            at = at + rest.index(b"\n") + 1 if rest else end
+        while at < end:
+            f.seek(at)
+            data = f.read(chunk)
+            if not data:
+                break
+            while data.count(b"\n") < 2 and (more := f.read(chunk)):
+                data += more
+            last = at + len(data) >= f.size()
+            stops = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+            if last and (not len(stops) or stops[-1] != len(data) - 1):
+                stops = np.append(stops, len(data))
+            begins = np.concatenate(([0], stops[:-1] + 1))
+            inside = begins + at < end
+            if not last:
+                inside[-1] = False  # its next line may lie beyond what was read
+            for k in np.flatnonzero(inside & (stops - begins <= 24)):  # a head is short
+                line = data[begins[k] : stops[k]].strip()
+                if line.isdigit():
+                    after = data[begins[k + 1] : stops[k + 1]] if k + 1 < len(begins) else b""
+                    heads.append((lines + int(k), int(at + begins[k]), int(line), after.decode("utf-8", "replace").rstrip("\r")))
+                elif not line:
+                    blank.append(lines + int(k))
+            n = int(inside.sum())
+            if n == 0:
+                break
+            lines += n
+            at += int(stops[n - 1]) + 1
+    return lines, heads, blank
+
+
+def _chained(path: str, size: int, ranges: Iterable[tuple[int, int, list, list]]) -> list[FrameOffset]:
+    """The frames from what the scans of all ranges found; a file that breaks off within a frame is an error, not a shorter trajectory."""
+    total, found, blank = 0, {}, set()
+    for _, lines, heads, empty in sorted(ranges):
+        found |= {total + line: (offset, n, comment) for line, offset, n, comment in heads}
+        blank |= {total + line for line in empty}
+        total += lines
+    out, line = [], 0
+    while line < total:
+        if line in blank:
+            line += 1
+            continue
+        if line not in found:
+            raise ValueError(f"frame {len(out)} of {path} does not begin with an atom count")
+        offset, n, comment = found[line]
+        if line + 2 + n > total or blank and not blank.isdisjoint(range(line + 2, line + 2 + n)):
+            raise ValueError(f"frame {len(out)} of {path} is incomplete")
+        out.append((offset, n, comment))
+        line += 2 + n
+    ends = [offset for offset, _, _ in out[1:]] + [size]
+    return [FrameOffset(k, offset, stop - offset, n, comment) for k, ((offset, n, comment), stop) in enumerate(zip(out, ends))]
+
+
+def _size(path: str) -> int:
+    where, name = _opened(path)
+    info = where.get_file_info(name)
+    if info.type != fs.FileType.File:
+        raise FileNotFoundError(path)
+    return info.size
+
+
+def frame_offsets(path: str, spark: SparkSession | None = None, range_bytes: int = RANGE_BYTES) -> list[FrameOffset]:
+    """The frames of a file; with a session, tasks scan it range by range."""
+    size = _size(path)
+    ranges = [(k, min(size, k + range_bytes)) for k in range(0, size, range_bytes)]
+    if spark is None or len(ranges) < 2:
+        return _chained(path, size, [(a, *scan_range(path, a, b)) for a, b in ranges])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines, heads, blank = scan_range(path, a, b)
+                yield pa.RecordBatch.from_pylist([{"begin": a, "lines": lines, "heads": [dict(zip(("line", "offset", "n", "comment"), h)) for h in heads], "blank": blank}], schema=made)
+
+    head = pa.struct([("line", pa.int64()), ("offset", pa.int64()), ("n", pa.int64()), ("comment", pa.string())])
+    made = pa.schema([("begin", pa.int64()), ("lines", pa.int64()), ("heads", pa.list_(head)), ("blank", pa.list_(pa.int64()))])
+    listed = spark.createDataFrame(ranges, "a long, b long").repartition(len(ranges))
+    rows = listed.mapInArrow(scan, "begin long, lines long, heads array<struct<line: long, offset: long, n: long, comment: string>>, blank array<long>").collect()  # a row a range, an entry a frame
+    return _chained(path, size, [(r["begin"], r["lines"], [tuple(h) for h in r["heads"]], list(r["blank"])) for r in rows])
+
+
+def _parsed(data: bytes, frame: int, n: int) -> pa.RecordBatch:
+    """The atoms of a frame, from its bytes."""
+    head = data.split(b"\n", 2)
+    species, position = columns_of(head[1].decode("utf-8", "replace"))
+    words = head[2].split()
+    if n and len(words) % n == 0 and len(words) // n > max(species, position + 2):
+        width = len(words) // n
+        names, xyz = words[species::width], [np.array(words[position + k :: width], float) for k in range(3)]
+    else:  # lines of unequal length
+        rows = [line.split() for line in head[2].split(b"\n")[:n]]
+        names, xyz = [r[species] for r in rows], [np.array([r[position + k] for r in rows], float) for k in range(3)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, frame)), pa.array(np.arange(n)), pa.array([x.decode() for x in names], pa.string()), *map(pa.array, xyz)], names=["frame", "atom", "species", "x", "y", "z"])
+
+
+def _read(path: str, frames: Iterable[tuple[int, int, int, int]]) -> Iterator[pa.RecordBatch]:
+    """Atoms of frames (frame, offset, size, atoms)."""
+    where, name = _opened(path)
+    with where.open_input_file(name) as f:
+        for frame, offset, size, n in frames:
+            f.seek(offset)
+            yield _parsed(f.read(size), frame, n)
+
+
+def read_atoms(spark: SparkSession, path: str, frames: Sequence[FrameOffset], partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """(frame, atom, species, x, y, z) of the given frames, numbered in their order."""
+    rows = [(k, f.offset, f.size, f.atoms) for k, f in enumerate(frames)]
+    parts = max(1, min(len(rows), -(-sum(f.size for f in frames) // partition_bytes)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _read(path, zip(*(c.to_pylist() for c in batch.columns)))
+
+    listed = spark.createDataFrame(rows, "frame long, offset long, size long, atoms long")
+    return listed.repartitionByRange(parts, "frame").mapInArrow(read, ATOMS)
 
 
 @dataclass
@@ -111,18 +234,17 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         known = frame_offsets(self.path)
         chosen = range(len(known)) if self.wanted is None else self.wanted
-        rows = [(k, known[s].offset, known[s].atoms) for k, s in enumerate(chosen)]
-        return [_Frames(rows[k : k + FRAMES_A_PARTITION]) for k in range(0, len(rows), FRAMES_A_PARTITION)] or [_Frames([])]
+        out, held = [[]], 0
+        for k, s in enumerate(chosen):
+            if held >= PARTITION_BYTES:
+                out.append([])
+                held = 0
+            out[-1].append((k, known[s].offset, known[s].size, known[s].atoms))
+            held += known[s].size
+        return [_Frames(rows) for rows in out]
 
-    def read(self, partition: _Frames) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
-            for frame, offset, n in partition.frames:
-                f.seek(offset)
-                f.readline()
-                species, position = columns_of(f.readline().decode())
-                for atom in range(n):
-                    v = f.readline().split()
-                    yield (frame, atom, v[species].decode(), float(v[position]), float(v[position + 1]), float(v[position + 2]))
+    def read(self, partition: _Frames) -> Iterator[pa.RecordBatch]:
+        yield from _read(self.path, partition.frames)
 
 
 class XYZDataSource(DataSource):
@@ -133,7 +255,7 @@ class XYZDataSource(DataSource):
         return "xyz"
 
     def schema(self) -> str:
-        return "frame long, atom long, species string, x double, y double, z double"
+        return ATOMS
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
@@ -168,72 +290,133 @@ def box_matrix(box: float | Sequence[float]) -> list[float]:
     return [a, 0.0, 0.0, b * cg, b * sg, 0.0, c * cb, cy, math.sqrt(c * c - (c * cb) ** 2 - cy * cy)]
 
 
+def _with_box(frames: DataFrame, box) -> DataFrame:
+    """The frames with one cell for all, if a box is given."""
+    if box is None:
+        return frames
+    kept = [c for c in frames.columns if c not in {*H, "a", "b", "c", "alpha", "beta", "gamma"}]
+    return frames.select(*kept, *[F.lit(v).alias(h) for h, v in zip(H, box_matrix(box))])
+
+
+def _from_parquet(spark, path: str, frames, box, shift_by_origin: bool, attribute: str) -> Trajectory:
+    atoms = spark.read.parquet(f"{path}/atoms")
+    named = [attribute] if attribute != "auto" else [c for c in ("species", "elements", "names", "types") if c in atoms.columns]
+    if not named or named[0] not in atoms.columns:
+        raise ValueError(f"the atoms have no column {attribute!r} to name their species")
+    if named[0] != "species":
+        atoms = atoms.drop("species").withColumnRenamed(named[0], "species")
+    whole = Trajectory.from_dataframe(atoms, _with_box(spark.read.parquet(f"{path}/frames"), box), filename=path, shift_by_origin=shift_by_origin)
+    return whole if frames is None else whole.select_frames(_selected(len(whole), frames))
+
+
+def _from_xyz(spark, path: str, frames, box, shift_by_origin: bool) -> Trajectory:
+    known = frame_offsets(path, spark)
+    chosen = [known[k] for k in _selected(len(known), frames)]
+    if not chosen:
+        raise ValueError("frames must select at least one frame")
+    given = None if box is None else box_matrix(box)
+    rows = []
+    for k, s in enumerate(chosen):
+        cell = given or lattice_of(s.comment)
+        if cell is None:
+            raise ValueError(f"source frame {s.index} has no Lattice; pass box=")
+        rows.append((k, s.index, *cell, *(origin_of(s.comment) or (None, None, None))))
+    schema = "frame long, source_frame long, " + ", ".join(f"{h} double" for h in H) + ", ox double, oy double, oz double"
+    return Trajectory.from_dataframe(read_atoms(spark, path, chosen), spark.createDataFrame(rows, schema), filename=path, shift_by_origin=shift_by_origin)
+
+
+XYZ = ("xyz", "extxyz", "exyz")
+
+
 def load_trajectory(
     topology, coordinates=None, *, frames=None, box=None, shift_by_origin=False, atom_attribute="auto", normalize_species_order="auto", format=None, topology_format=None, spark: SparkSession | None = None, **universe_kwargs
 ) -> Trajectory:
-    """A trajectory from an XYZ file, a Parquet folder of atoms (with frames beside it), or an existing one.
+    """A trajectory from an XYZ file, a Parquet folder (atoms and frames), an existing one, or another format where its library is installed.
 
-    Species are a column of every atom row, so no order needs to be normalized first.  Other formats
-    need a reader that is not installed here.
+    With ``coordinates`` the atoms lie where that file has them and are named as in the topology's first
+    frame.  ``box`` is the cell of all frames, whatever the files say.  ``atom_attribute`` names the
+    column that holds the species (Parquet, other formats).  If ``normalize_species_order`` is True, or
+    is "auto" and sampled frames of an XYZ file differ in it, atoms are numbered by species.
     """
+    if normalize_species_order not in ("auto", True, False):
+        raise ValueError(f"normalize_species_order is {normalize_species_order!r}, not 'auto', True or False")
     spark = spark or SparkSession.active()
     if isinstance(topology, Trajectory):
-        return topology.select_frames(frames)
-    path = os.fspath(coordinates or topology)
+        if coordinates is not None:
+            raise ValueError("a trajectory has its own coordinates")
+        whole = topology if box is None else Trajectory.from_dataframe(topology.atoms, _with_box(topology.frames.select(*[c for c in topology.frames.columns if c in ("frame", "source_frame", "ox", "oy", "oz")]), box), filename=topology.filename)
+        return whole.select_frames(frames)
+    path = os.fspath(coordinates if coordinates is not None else topology)
     kind = (format or os.path.splitext(path)[1].lstrip(".")).lower()
+    top = os.fspath(topology)
+    top_kind = kind if coordinates is None else (topology_format or os.path.splitext(top)[1].lstrip(".")).lower()
+    if kind not in (*XYZ, "parquet") or top_kind not in (*XYZ, "parquet"):
+        from tesserspark.sources import universe
+
+        return universe.load(spark, top, None if coordinates is None else path, frames, box, atom_attribute, format, topology_format, universe_kwargs)
     if kind == "parquet":
-        whole = Trajectory.from_dataframe(spark.read.parquet(f"{path}/atoms"), spark.read.parquet(f"{path}/frames"), filename=path, shift_by_origin=shift_by_origin)
-        if frames is None:
-            return whole
-        keep = _selected(len(whole), frames)
-        return whole.select_frames(keep)
-    if kind not in ("xyz", "extxyz", "exyz"):
-        raise ValueError(f"format {kind!r} is not supported here; convert to XYZ or Parquet")
-    known = frame_offsets(path)
-    chosen = _selected(len(known), frames)
-    if not chosen:
-        raise ValueError("frames must select at least one frame")
-    rows = []
-    for k, s in enumerate(chosen):
-        cell = box_matrix(box) if box is not None else lattice_of(known[s].comment)
-        if cell is None:
-            raise ValueError(f"source frame {s} has no cell; pass box=")
-        rows.append((k, s, *cell, *(origin_of(known[s].comment) or (None, None, None))))
-    schema = "frame long, source_frame long, " + ", ".join(f"{h} double" for h in H) + ", ox double, oy double, oz double"
-    spark.dataSource.register(XYZDataSource)
-    atoms = spark.read.format("xyz").option("frames", ",".join(map(str, chosen))).load(path)
-    return Trajectory.from_dataframe(atoms, spark.createDataFrame(rows, schema), filename=path, shift_by_origin=shift_by_origin)
+        found = _from_parquet(spark, path, frames, box, shift_by_origin, atom_attribute)
+    else:
+        found = _from_xyz(spark, path, frames, box, shift_by_origin)
+    if coordinates is not None:
+        first = _from_parquet(spark, top, [0], (1, 1, 1), False, atom_attribute) if top_kind == "parquet" else _from_xyz(spark, top, [0], (1, 1, 1), False)
+        if first.n_atoms != found.n_atoms:
+            raise ValueError(f"the topology has {first.n_atoms} atoms, the coordinates {found.n_atoms}")
+        names = first.atoms.select(F.col("atom").alias("named"), F.col("species").alias("label"))
+        labelled = found.atoms.join(names, F.col("atom") == F.col("named")).select("frame", "atom", F.col("label").alias("species"), "x", "y", "z")
+        return Trajectory(found.frames, labelled, found.filename, found.metadata)
+    if normalize_species_order is True or normalize_species_order == "auto" and kind in XYZ and xyz_has_variable_species_order(path, spark=spark):
+        return Trajectory(found.frames, normalized(found.atoms), found.filename, {**found.metadata, "normalized_species_order": True})
+    return found
 
 
 def xyz_has_variable_species_order(filename, sample_frames=(0, 1, 10, 100), spark: SparkSession | None = None) -> bool:
-    """Whether a sampled frame lists its species in another order than frame 0."""
+    """Whether a sampled frame lists its species in another order than the first."""
     spark = spark or SparkSession.active()
-    known = frame_offsets(os.fspath(filename))
-    chosen = sorted({0, *(k for k in list(sample_frames)[1:] if 0 <= k < len(known))})
-    spark.dataSource.register(XYZDataSource)
-    atoms = spark.read.format("xyz").option("frames", ",".join(map(str, chosen))).load(os.fspath(filename))
-    first = atoms.where("frame = 0").select(F.col("atom").alias("a0"), F.col("species").alias("s0"))
-    odd = atoms.join(first, F.col("atom") == F.col("a0"), "left").where(~F.col("species").eqNullSafe(F.col("s0")))
-    return odd.limit(1).count() > 0 or len({known[k].atoms for k in chosen}) > 1
+    path = os.fspath(filename)
+    known = frame_offsets(path, spark)
+    chosen = [known[k] for k in sorted({0, *(k for k in sample_frames if 0 <= k < len(known))})] if known else []
+    if len({f.atoms for f in chosen}) > 1:
+        return True
+    orders = {tuple(batch.column(2).to_pylist()) for batch in _read(path, [(0, f.offset, f.size, f.atoms) for f in chosen])}  # a few sampled frames
+    return len(orders) > 1
+
+
+def xyz_needs_column_normalization(filename, spark: SparkSession | None = None) -> bool:
+    """Whether the first frame's columns are not species, x, y, z at the beginning of the line."""
+    known = frame_offsets(os.fspath(filename), spark)
+    return bool(known) and columns_of(known[0].comment) != (0, 1)
 
 
 def normalized(atoms: DataFrame, frame: str = "frame") -> DataFrame:
-    """Atoms renumbered so that species stand together, in the order they first appear in frame 0; stable within a species."""
-    ranks = atoms.where(F.col(frame) == 0).groupBy("species").agg(F.min("atom").alias("rank")).withColumnRenamed("species", "s0")
+    """Atoms renumbered so that species stand together, in the order they first appear in the first frame; stable within a species."""
+    least = atoms.agg(F.min(frame).alias("least"))
+    ranks = atoms.join(F.broadcast(least), F.col(frame) == F.col("least"), "left_semi").groupBy("species").agg(F.min("atom").alias("rank")).withColumnRenamed("species", "s0")
     order = Window.partitionBy(frame).orderBy(F.col("rank").asc_nulls_last(), "species", "atom")
     return atoms.join(F.broadcast(ranks), F.col("species") == F.col("s0"), "left").withColumn("place", F.row_number().over(order) - 1).select(frame, F.col("place").cast("long").alias("atom"), "species", "x", "y", "z")
 
 
 def normalize_xyz_species_order(filename, output_filename=None, spark: SparkSession | None = None) -> str:
-    """Writes the normalized trajectory as a Parquet folder (atoms, frames) and returns its path; reused while the source file is the same."""
+    """Writes the normalized trajectory as a Parquet folder (atoms, frames) and returns its path; reused while the source file is the same.
+
+    It is written beside its place and moved there when it is whole, so the folder is whole or not there.
+    """
     spark = spark or SparkSession.active()
-    path = os.path.abspath(os.fspath(filename))
-    stat = os.stat(path)
-    key = hashlib.sha1(f"{path}|{stat.st_size}|{stat.st_mtime_ns}".encode()).hexdigest()[:16]
+    path = os.fspath(filename)
+    where, name = _opened(path)
+    info = where.get_file_info(name)
+    key = hashlib.sha1(f"{name}|{info.size}|{info.mtime_ns}".encode()).hexdigest()[:16]
     out = os.fspath(output_filename) if output_filename else f"{path}.{key}.parquet"
-    if os.path.exists(f"{out}/frames/_SUCCESS"):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    final = jvm.org.apache.hadoop.fs.Path(out)
+    disk = final.getFileSystem(conf)
+    if disk.exists(jvm.org.apache.hadoop.fs.Path(f"{out}/frames/_SUCCESS")):
         return out
-    t = load_trajectory(path, spark=spark)
-    normalized(t.atoms).repartitionByRange("frame").write.mode("overwrite").parquet(f"{out}/atoms")
-    t.frames.select("frame", "source_frame", *H, "ox", "oy", "oz").write.mode("overwrite").parquet(f"{out}/frames")  # last: its _SUCCESS marks the whole
+    t = load_trajectory(path, normalize_species_order=False, spark=spark)
+    draft = f"{out}.{uuid.uuid4().hex}"
+    normalized(t.atoms).repartitionByRange("frame").write.parquet(f"{draft}/atoms")
+    t.frames.select("frame", "source_frame", *H, "ox", "oy", "oz").write.parquet(f"{draft}/frames")
+    if not disk.rename(jvm.org.apache.hadoop.fs.Path(draft), final):
+        disk.delete(jvm.org.apache.hadoop.fs.Path(draft), True)
+        raise OSError(f"cannot move the normalized trajectory to {out}")
     return out

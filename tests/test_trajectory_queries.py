@@ -107,7 +107,9 @@ def test_rad_equals_the_sequential_walk(spark):
     x = rng.random((1, 60, 3)) * 12
     t = make(spark, x, ["A"] * 30 + ["B"] * 30)
     d, n2 = images(x[0], (12, 12, 12, 90, 90, 90))
-    found = rad.shells(t, nearest=8).toPandas().groupby("i").j.apply(set)
+    every = [rad.shells(t, nearest=n).toPandas().groupby("i").j.apply(set) for n in (8, 2, 32)]
+    found = every[0]
+    assert all((f == found).all() for f in every[1:])
     for c in range(60):
         shell = []
         for j in sorted((j for j in range(60) if j != c), key=lambda j: (n2[c, j], j)):
@@ -117,6 +119,21 @@ def test_rad_equals_the_sequential_walk(spark):
         assert found[c] == set(shell)
 
 
+def test_rad_of_atoms_far_from_all_others(spark):
+    t = make(spark, [[(1, 1, 1), (1.5, 1, 1), (2.5, 1, 1), (11, 11, 11)], [(1, 1, 1), (1, 1, 1), (9, 9, 9), (4, 1, 1)]], ["A"] * 4)
+    got = rad.shells(t, nearest=1).toPandas().groupby(["frame", "i"]).j.apply(set)
+    assert got[0, 0] == {1} and 0 not in got.get((1, 1), set()) and len(got) == 8  # coincident atoms are no neighbors
+
+
+def test_many_cells_an_axis(spark):
+    """Cells are as small as the cutoff asks for in a box of any size."""
+    side, n = 5_000.0, 400
+    x = np.random.default_rng(0).random((n, 3)) * side
+    x[1::2] = x[::2] + [0.5, 0, 0]
+    t = make(spark, [x], ["A"] * n, (side, side, side, 90, 90, 90))
+    assert neighbor_pairs(t, 1.0, half=True).count() == n // 2
+
+
 def test_environments_and_lifetimes(spark):
     near, far = [(1, 1, 1), (2, 1, 1), (7, 7, 7)], [(1, 1, 1), (6, 1, 1), (1.5, 1, 1)]
     t = make(spark, [near, near, far, near], ["A", "B", "C"])
@@ -171,7 +188,7 @@ def test_xyz_roundtrip_and_selection(spark, tmp_path):
         order = ["A", "B", "A"] if k != 1 else ["B", "A", "A"]
         frames.append(f'3\nLattice="10 0 0 0 10 0 0 0 10" Origin="-1 0 0" Properties=pos:R:3:species:S:1:id:I:1\n' + "".join(f"{k + i}.0 0 0 {s} {i}\n" for i, s in enumerate(order)))
     path.write_text("".join(frames))
-    t = xyz.load_trajectory(path, frames=[3, 1], shift_by_origin=True, spark=spark)
+    t = xyz.load_trajectory(path, frames=[3, 1], shift_by_origin=True, normalize_species_order=False, spark=spark)
     assert t.frame_index == [(0, 3), (1, 1)] and t.n_atoms == 3
     assert [r["x"] for r in t.atoms.where("frame = 0").orderBy("atom").collect()] == [4.0, 5.0, 6.0]
     assert xyz.xyz_has_variable_species_order(path, spark=spark)
