@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tesserspark.plans.staging import discard, materialize, shared_dir, shared_path  # noqa: F401
+
 #: White space of the word contracts, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Everything between the words of the decontamination contract (after lower-casing).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_dir: str | None = None
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,39 +37,6 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own in local mode."""
-    global _own_dir
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="tesserspark-")
-        atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
-    return _own_dir
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table once into the shared folder and reads it back.
-
-    That cuts lineage like a reliable checkpoint, so a lost executor costs no recomputation,
-    but evaluates the plan once where ``checkpoint()`` evaluates it twice.
-    """
-    path = shared_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_spread(rows: DataFrame, unique: DataFrame, left: str, right: str, n: str, hot: int) -> DataFrame:
     """``rows`` joined to ``unique`` on left = right, though some key may stand on a large part of ``rows``.
 
@@ -88,12 +50,3 @@ def join_spread(rows: DataFrame, unique: DataFrame, left: str, right: str, n: st
         return rows.join(unique, same)
     usual = rows.join(F.broadcast(crowded.select(right)), same, "left_anti").join(unique.where(F.col(n) <= hot), same)
     return rows.join(F.broadcast(crowded), same).unionByName(usual)
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(folder)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
