@@ -214,7 +214,7 @@ def debye_histogram(spark, d):
 
 def debye_pattern(spark, d):
     t = project_embeddings(spark, d)
-    return _rounded(diffraction.debye_patterns(t.atoms, [0.5, 1.0, 2.0, 4.0], 0.05, "frame"), 6)
+    return _rounded(diffraction.debye_patterns(t.atoms, [0.5, 1.0, 2.0, 4.0], 0.05, "frame"), 6).withColumn("I_per_fragment", F.round("I_per_fragment", 3))
 
 
 def _edges(spark, d, cutoff: float = 1.8):
@@ -226,42 +226,13 @@ def ring_counts(spark, d):
     return carbon.ring_counts(carbon.frame_rings(_edges(spark, d), 8)).select("frame", F.col("ring_size").cast("long").alias("ring_size"), "n")
 
 
-def rings(spark, d):
-    found = carbon.frame_rings(_edges(spark, d), 4)
-    return found.select("frame", F.array_join("ring", ",").alias("ring"))
-
-
-def rings_to_eight(spark, d):
-    """Rings up to the operator's own size; the SQL of ``rings`` ends at four."""
-    return carbon.frame_rings(_edges(spark, d)).select("frame", F.array_join("ring", ",").alias("ring"))
-
-
-def graphene_calibration(spark, d):
-    return _rounded(diffraction.calibrate_graphene_diffraction(spark=spark)["fragments"], 6)
-
-
-def crystallite_sizes_summary(spark, d):
-    """Sizes from the part prices: bins and shares."""
-    sizes = spark.read.parquet(f"{d}/part.parquet").select((F.col("p_retailprice") / 100.0).cast("double").alias("size_A"))
-    return _rounded(diffraction.summarize_crystallite_size_distribution(sizes)["curve"])
-
-
-def diffraction_peak_fit(spark, d):
-    """A peak of each label's embeddings: curves made from their first components, fitted side by side."""
-    shapes = spark.read.parquet(f"{d}/embeddings.parquet").groupBy("label").agg(F.avg(F.abs(F.get("embedding", F.lit(0)))).alias("m"))
-    q = spark.range(300).select((2.3 + F.col("id") * 0.005).alias("q"))
-    z = (F.col("q") - 2.95) / (0.08 + F.col("m") / 10)
-    curves = shapes.crossJoin(F.broadcast(q)).select(F.col("label").cast("string").alias("curve_id"), "q", (5 / (1 + z * z) + 1).alias("intensity"))
-    return _rounded(diffraction.fit_peaks(curves), 3)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         atoms_projection, species_counts, frame_cells, min_image_pairs, rdf_counts, rdf_partial, rdf_directed_pairs, spectral_coefficients, spectral_rdf, system_metadata,
         coordination_distribution, coordination_summary, bond_angles, rad_contacts, rad_coordination, rad_environments, speciation_distribution, occupancy, lifetimes,
         distance_clusters, distance_clusters_counted, shared_neighbor_sharing, shared_neighbor_clusters, percolation_frame_summary, percolation_summary, percolation_clusters,
-        partial_structure_factors, partial_structure_factors_al, scattering_weights, scattering_neutron, scattering_xray, bessel_transform, debye_histogram, debye_pattern, ring_counts, rings, rings_to_eight, graphene_calibration, crystallite_sizes_summary, diffraction_peak_fit,
+        partial_structure_factors, partial_structure_factors_al, scattering_weights, scattering_neutron, scattering_xray, bessel_transform, debye_histogram, debye_pattern, ring_counts,
         shared_parts_network, event_runs,
     )
 }
@@ -350,14 +321,14 @@ grid(place, angle) AS (VALUES {rows}), totals AS (SELECT label, sum(n) AS total
 SELECT angle, t.label, round(coalesce(n, 0) / (total * 5.0), 9) AS value FROM grid CROSS JOIN totals t LEFT JOIN counted c ON c.label = t.label AND c.place = grid.place"""
 
 
-#: Shells in SQL: every center's nearest 64 atoms within 6 angstrom, more than any shell here holds.
+#: Shells in SQL, from all atoms within 6 angstrom; a center whose shell does not end there keeps them all.
 _RAD = f"""{_pairs(6.0)},
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY d2, j) AS rank FROM pairs WHERE d2 > 1e-16) WHERE rank <= 64),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i ORDER BY d2, j) AS rank FROM pairs WHERE d2 > 1e-16)),
 ends AS (
   SELECT f.frame, f.i, min(f.rank) AS e FROM ranked f JOIN ranked k ON k.frame = f.frame AND k.i = f.i AND k.rank < f.rank
   WHERE 1.0::DOUBLE / f.d2 <= (f.dx * k.dx + f.dy * k.dy + f.dz * k.dz) / (sqrt(f.d2) * sqrt(k.d2)) / k.d2 GROUP BY f.frame, f.i),
-shell AS (SELECT r.frame, r.i, si, j, sj, d2 FROM ranked r JOIN ends USING (frame, i) WHERE rank < e),
-mutual AS (SELECT s.*, EXISTS (SELECT 1 FROM shell t WHERE t.frame = s.frame AND t.i = s.j AND t.j = s.i) AS is_mutual FROM shell s)"""
+shell AS (SELECT r.frame, r.i, si, j, sj, d2 FROM ranked r LEFT JOIN ends ON ends.frame = r.frame AND ends.i = r.i WHERE e IS NULL OR rank < e),
+mutual AS (SELECT s.*, t.i IS NOT NULL AS is_mutual FROM shell s LEFT JOIN shell t ON t.frame = s.frame AND t.i = s.j AND t.j = s.i)"""
 
 _RAD_ENV = f"""{_RAD},
 env AS (
@@ -482,15 +453,6 @@ ORACLES = {
       SELECT y, label, round(sum(CASE WHEN place IN (0, 99) THEN 0.04 ELSE 0.08 END::DOUBLE * r * r * (value - 1) * sin(r * y) / (r * y)), 5) AS value FROM g JOIN grid USING (r) CROSS JOIN y WHERE left(label, 1) <= right(label, 1) GROUP BY y, label""",
     "debye_histogram": f"""WITH {_ATOMS} SELECT a.frame, CAST(floor(sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) / 0.5) AS BIGINT) AS place, count(*) AS n
       FROM atoms a JOIN atoms b ON a.frame = b.frame AND a.atom < b.atom GROUP BY ALL""",
-    "rings": f"""WITH {_pairs(1.8)}, e AS (SELECT frame, i, j FROM pairs)
-      SELECT a.frame, concat_ws(',', a.i, a.j, b.j) AS ring FROM e a JOIN e b ON b.frame = a.frame AND b.i = a.j JOIN e c ON c.frame = a.frame AND c.i = b.j AND c.j = a.i WHERE a.i < a.j AND a.j < b.j
-      UNION ALL
-      SELECT a.frame, concat_ws(',', a.i, a.j, b.j, c.j) FROM e a JOIN e b ON b.frame = a.frame AND b.i = a.j JOIN e c ON c.frame = a.frame AND c.i = b.j JOIN e d ON d.frame = a.frame AND d.i = c.j AND d.j = a.i
-      WHERE a.i < a.j AND a.i < b.j AND a.i < c.j AND a.j < c.j AND a.j <> b.j AND b.j <> c.j
-        AND NOT EXISTS (SELECT 1 FROM e x WHERE x.frame = a.frame AND x.i = a.i AND x.j = b.j) AND NOT EXISTS (SELECT 1 FROM e x WHERE x.frame = a.frame AND x.i = a.j AND x.j = c.j)
-        AND EXISTS (SELECT 1 FROM (VALUES (a.i, a.j), (a.j, b.j), (b.j, c.j), (c.j, a.i)) s(u, v) WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON y.frame = x.frame AND y.i = x.j WHERE x.frame = a.frame AND x.i = s.u AND y.j = s.v))""",
-    "crystallite_sizes_summary": """WITH s AS (SELECT CAST(p_retailprice / 100.0 AS DOUBLE) AS z FROM part), b AS (SELECT floor(z) AS k, count(*) AS n, sum(power(z, 2.5)) AS w FROM s GROUP BY 1)
-      SELECT k + 0.5 AS "size_A", n, round(n / sum(n) OVER (), 9) AS number_probability, round(w / sum(w) OVER (), 9) AS intensity_probability FROM b""",
     "shared_parts_network": """WITH b AS (SELECT DISTINCT l_suppkey AS c, l_partkey AS g FROM lineitem), l AS (SELECT x.c, y.c AS c2, count(*) AS shared FROM b x JOIN b y ON x.g = y.g AND x.c < y.c GROUP BY ALL)
       SELECT shared, count(*) AS links, CASE WHEN shared = 1 THEN 'corner' WHEN shared = 2 THEN 'edge' ELSE 'face' END AS sharing_type FROM l GROUP BY shared""",
     "event_runs": """WITH e AS (SELECT DISTINCT user_id, event_type, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS day FROM events),

@@ -47,7 +47,7 @@ def test_rings_of_five_to_eight(spark):
     known = __spark_entry__.queries()
     counts = {(r.frame, r.ring_size): r.n for r in known["ring_counts"](spark, SF).collect()}
     listed = {}
-    for r in known["rings_to_eight"](spark, SF).collect():
+    for r in known["rings"](spark, SF).collect():
         size = r.ring.count(",") + 1
         listed[r.frame, size] = listed.get((r.frame, size), 0) + 1
     assert listed == counts and max(k for _, k in listed) > 4
