@@ -121,6 +121,25 @@ def rings(spark, d):
     return carbon.frame_rings(_edges(spark, d)).select("frame", F.array_join("ring", ",").alias("ring"))
 
 
+def honeycomb_sheets(spark: SparkSession, bond: float = 1.42) -> Trajectory:
+    """Flat periodic sheets of 4 x 4 to 9 x 9 cells, one a frame."""
+    a = bond * math.sqrt(3)
+    n = F.col("frame") + 4
+    frames = spark.range(6).select(F.col("id").alias("frame")).select("frame", *[v.alias(h) for h, v in zip([f"h{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)], [n * a, F.lit(0.0), F.lit(0.0), n * a / 2, n * a * math.sqrt(3) / 2, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(20.0)])])
+    sites = spark.range(6).select(F.col("id").alias("frame")).select("frame", F.explode(F.sequence(F.lit(0), 2 * n * n - 1)).alias("atom"))
+    i, j, b = F.floor(F.col("atom") / 2) % n, F.floor(F.col("atom") / (2 * n)), F.col("atom") % 2
+    atoms = sites.select("frame", "atom", F.lit("C").alias("species"), ((i + j / 2) * a + 0.3).alias("x"), (j * (a * math.sqrt(3) / 2) + F.when(b == 0, bond).otherwise(-bond) + 2.0).alias("y"), F.lit(5.0).alias("z"))
+    return Trajectory.from_dataframe(atoms, frames)
+
+
+def graphenic_sheets(spark, d):
+    """Domains of flat sheets: one that winds around the cell, of known area."""
+    t = honeycomb_sheets(spark)
+    bonds = neighbor_pairs(t, 1.6).select("frame", F.col("i").alias("src"), F.col("j").alias("dst"))
+    out = carbon.analyze_graphenic_frames(t, bonds, "crystallites", normal_thresholds_deg=(1.0,))
+    return _rounded(out.select("frame", "ring_count", "atom_count", "wrap_a", "wrap_b", "wrap_c", "area_A2", "area_scope", "normal_nematic_order"), 6)
+
+
 def _sizes(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_extendedprice") / 2000.0).alias("size_A"))
 
@@ -159,7 +178,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         skewed_cells, skewed_pairs, skewed_rdf, skewed_coordination, shifted_atoms, selected_atoms, cutoff_clusters, scattering_xray_structure, scattering_neutron_rdf, scattering_neutron_al, scattering_interpolated, bessel_simpson,
-        composition_table, spectral_automatic, rings, crystallite_sizes_summary, crystallite_sizes_moments, graphene_calibration, graphene_calibration_fine, diffraction_peak_fit,
+        composition_table, spectral_automatic, rings, graphenic_sheets, crystallite_sizes_summary, crystallite_sizes_moments, graphene_calibration, graphene_calibration_fine, diffraction_peak_fit,
     )
 }
 
@@ -352,6 +371,8 @@ ORACLES = {
       errors AS (SELECT y.label, lines.k, s, i, avg(power(y - i - s * least(mode, lines.k), 2)) AS e FROM y JOIN lines ON lines.label = y.label GROUP BY ALL),
       best AS (SELECT label, arg_min(k, e) AS k, arg_min(s, e) AS s, arg_min(i, e) AS i FROM errors WHERE s < 0 GROUP BY label), middle AS (SELECT label, median(y) AS m FROM y GROUP BY label)
       SELECT label, CAST(coalesce(k, 2) AS INTEGER) AS selected_mode, round(coalesce(-s, 0), 6) AS decay_rate, round(coalesce(i + s * k, m), 6) AS log_noise_floor, k IS NULL AS fallback FROM middle LEFT JOIN best USING (label)""",
+    "graphenic_sheets": """SELECT CAST(k AS BIGINT) AS frame, CAST((k + 4) * (k + 4) AS BIGINT) AS ring_count, CAST(2 * (k + 4) * (k + 4) AS BIGINT) AS atom_count, TRUE AS wrap_a, TRUE AS wrap_b, FALSE AS wrap_c,
+      round((k + 4) * (k + 4) * 1.5 * sqrt(3.0::DOUBLE) * 1.42 * 1.42, 6) AS "area_A2", 'periodic_cell' AS area_scope, 1.0::DOUBLE AS normal_nematic_order FROM range(6) t(k)""",
     "rings": f"{_rings_cte()} SELECT frame, array_to_string(path, ',') AS ring FROM found",
     "ring_counts": f"{_rings_cte()} SELECT frame, n AS ring_size, count(*) AS n FROM found GROUP BY frame, n",
     "debye_pattern": _debye_sql(),
