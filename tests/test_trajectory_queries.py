@@ -274,17 +274,32 @@ def test_cache(spark, tmp_path, dense):
 
 
 def test_streaming_histogram(spark, tmp_path, dense):
-    from tesserspark.streaming.rdf import read_frames, running_histogram
+    from tesserspark.streaming import rdf as stream
 
     t, *_ = dense["cube"]
-    for k in range(2):
-        t.atoms.where(f"frame = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    edges = np.linspace(0, 4, 9)
-    q = running_histogram(read_frames(spark, str(tmp_path / "in"), 1), 12.0, [("A", "B")], edges, "running")
-    q.processAllAvailable()
-    q.stop()
+    source, folder = str(tmp_path / "in"), str(tmp_path / "state")
+    edges, pairs = np.linspace(0, 4, 9), [("A", "B")]
     rows = lambda df: sorted(map(tuple, df.select("a", "b", "place", "n").collect()))
-    assert rows(spark.table("running")) == rows(rdf.pair_histogram(t, [("A", "B")], edges))
+
+    def advance():
+        q = stream.running_histogram(stream.read_frames(spark, source, 1), 12.0, t.n_atoms, pairs, edges, folder)
+        q.processAllAvailable()
+        q.stop()
+
+    # the first frame comes in two batches, the second in one, and the query is started again in between
+    t.atoms.where("frame = 0 and atom < 20").coalesce(1).write.mode("append").parquet(source)
+    advance()
+    assert rows(stream.counted(spark, folder)) == []
+    t.atoms.where("frame = 0 and atom >= 15").coalesce(1).write.mode("append").parquet(source)  # some atoms come twice
+    t.atoms.where("frame = 1").coalesce(1).write.mode("append").parquet(source)
+    advance()
+    want = rows(rdf.pair_histogram(t, pairs, edges))
+    assert rows(stream.counted(spark, folder)) == want
+    # a batch that runs again counts once
+    other = str(tmp_path / "other")
+    for number, part in ((0, "frame = 0 and atom < 20"), (1, "frame = 0 and atom >= 20 or frame = 1 and atom < 5"), (1, "frame = 0 and atom >= 20 or frame = 1 and atom < 5"), (2, "frame = 1 and atom >= 5"), (2, "frame = 1 and atom >= 5")):
+        stream.add_batch(t.atoms.where(part), number, 12.0, t.n_atoms, pairs, edges, other)
+    assert rows(stream.counted(spark, other)) == want
 
 
 def test_entry(spark):
