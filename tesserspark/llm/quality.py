@@ -31,13 +31,18 @@ OTHER = "other"
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Thresholds; ``min_chars`` and ``min_words`` guard the two divergence tests."""
+    """Thresholds; ``min_chars`` and ``min_words`` guard the two divergence tests.
+
+    A short text is far from any reference by chance alone, so the distance of common words may be
+    ``short_allowance`` over the number of words more.
+    """
 
     min_document_words: int = 20
     window: int = 8
     max_repeat_percent: int = 30
     min_chars: int = 200
-    min_words: int = 120
+    min_words: int = 20
+    short_allowance: float = 0.9
     max_char_distance: float = 0.28
     max_word_distance: float = 0.25
     common_words: dict = field(default_factory=lambda: COMMON_WORDS)
@@ -188,7 +193,7 @@ def _judged(docs: DataFrame, rules: QualityRules, references: DataFrame | None,
     found = (_references(f, rules) if references is None else references).collect()  # one row per known language
     char, word = _distances(rules, found)
     failed = (F.col("__n") < rules.min_document_words) | (100 * F.col("__repeat") > rules.max_repeat_percent * F.col("__n"))
-    odd = ((F.col("__chars") >= rules.min_chars) & (F.col("__dc") > rules.max_char_distance)) | ((F.col("__n") >= rules.min_words) & (F.col("__dw") > rules.max_word_distance))
+    odd = ((F.col("__chars") >= rules.min_chars) & (F.col("__dc") > rules.max_char_distance)) | ((F.col("__n") >= rules.min_words) & (F.col("__dw") > rules.max_word_distance + rules.short_allowance / F.col("__n")))
     return f.select("*", char.alias("__dc"), word.alias("__dw"), failed.alias("__failed")).select("*", (~F.col("__failed") & ~odd).alias("__kept"))
 
 
@@ -198,7 +203,8 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), references: D
     Null and empty texts have no words and fail the base rules.  A null or unlisted ``lang`` (or a
     table without that column) is held against the nearest known reference by characters, and not
     by common words; a language without a reference row counts as near.  Repeated rows each get
-    their own equal result, an empty table gives no rows, and other columns are ignored.
+    their own equal result, texts of any length count whole, an empty table gives no rows, and other
+    columns are ignored; a distance at a threshold passes.
     ``references`` is a table as ``language_references`` returns; by default that of ``docs`` itself.
     """
     return _judged(docs, rules, references, ["doc_id"]).select(
@@ -216,6 +222,9 @@ def quality(docs: DataFrame, rules: QualityRules = QualityRules(), references: D
 
 
 def keep_good(docs: DataFrame, rules: QualityRules = QualityRules(), references: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; no join and no shuffle."""
+    """The rows of ``docs`` that the rules keep, with all their columns, whatever their names; no join and no shuffle.
+
+    Null and empty texts go, repeated rows stay or go together, and an empty table stays empty.
+    """
     judged = _judged(docs, rules, references, docs.columns)
     return judged.where("__kept").select(*[F.col(f"__carry_{k}").alias(c) for k, c in enumerate(docs.columns)])

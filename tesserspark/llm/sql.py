@@ -67,7 +67,7 @@ judged AS (
   SELECT s.*, CASE WHEN s.lang = 'other' THEN (SELECT min({_distance('s.pc', 'ref.qc')}) FROM ref) ELSE {_distance('s.pc', 'r.qc')} END AS dc, {_distance('s.pw', 'r.qw')} AS dw FROM shares s LEFT JOIN ref r ON r.lang = s.lang)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS word_chars, CAST(cc[3] AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words, n < 20 OR 100 * coalesce(r, 0) > 30 * n AS base_failed,
-  NOT (n < 20 OR 100 * coalesce(r, 0) > 30 * n) AND NOT ((chars >= {_RULES.min_chars} AND coalesce(dc, 0) > {_RULES.max_char_distance}) OR (n >= {_RULES.min_words} AND coalesce(dw, 0) > {_RULES.max_word_distance})) AS kept
+  NOT (n < 20 OR 100 * coalesce(r, 0) > 30 * n) AND NOT ((chars >= {_RULES.min_chars} AND coalesce(dc, 0) > {_RULES.max_char_distance}) OR (n >= {_RULES.min_words} AND coalesce(dw, 0) > {_RULES.max_word_distance} + {_RULES.short_allowance} / n)) AS kept
 FROM judged LEFT JOIN rep USING (rid)
 """
 

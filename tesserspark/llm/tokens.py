@@ -129,7 +129,8 @@ def count_tokens(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT, hea
 
     Null counts as an empty text: no bytes, no tokens.  Strings of added tokens inside a text are the
     tokens they name, as the library has it by default.  Repeated rows each get their own equal
-    result, an empty table gives no rows, and other columns are ignored.
+    result, texts of any length are counted whole, an empty table gives no rows, and other columns
+    are ignored.
     """
     spark = docs.sparkSession
     all_pieces = materialize(vocabulary(docs, name), "vocabulary")

@@ -58,10 +58,20 @@ def test_quality(docs, none):
         want.append((i, n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered), n < 20 or 100 * len(covered) > 30 * n))
     assert rows_of(r, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == sorted(want, key=repr)
     assert quality.quality(none).count() == 0
-    kept = quality.keep_good(docs)
+    kept = quality.keep_good(docs, quality.QualityRules(min_words=120))  # one long text is the reference of the short ones here
     assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {1, 2}
 
 
+def test_short_junk_goes(spark):
+    rng = np.random.default_rng(8)
+    common = "the of and to in is it that for on with as was by at this from they are be".split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.45 else "w" + "".join(rng.choice(list("aeinorst"), 6)) for _ in range(n))
+    junk = lambda n: " ".join("x" + "".join(rng.choice(list("aeinorst"), 6)) for _ in range(n))
+    rows = [(k, prose(int(rng.integers(40, 400))), "en") for k in range(200)] + [(1000 + k, junk(45 + 5 * k), "en") for k in range(10)]
+    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[k] for k in range(200)) >= 198 and not any(got[1000 + k] for k in range(10))
+
+
 def test_quality_distance_matches_numpy(spark):
     from pyspark.sql import functions as F
 
