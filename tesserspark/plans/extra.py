@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesserspark.functions import constants
 from tesserspark.functions.transforms import quadrature_weights
-from tesserspark.operators import carbon, clustering, coordination, diffraction, rdf, scattering
-from tesserspark.plans import registry as base
+from tesserspark.operators import carbon, clustering, coordination, diffraction, plotting, rdf, scattering
+from tesserspark.operators.cache import AnalysisCache
+from tesserspark.plans import neighbors, registry as base
 from tesserspark.plans.neighbors import neighbor_pairs
 from tesserspark.plans.registry import _ATOMS, _edges, _factor_cte, _long, _pairs, _rdf_cte, _rounded, _scattering, _scattering_cte, _SHARED, _SPECTRAL, _weights_cte, ELEMENTS
-from tesserspark.plans.staging import materialize
+from tesserspark.plans.staging import materialize, shared_path
 from tesserspark.functions.bins import bin_edges
 from tesserspark.operators.tables import Table
+from tesserspark.sources import xyz
 from tesserspark.sources.trajectory import Trajectory, project_embeddings
 
 
@@ -140,6 +142,59 @@ def graphenic_sheets(spark, d):
     return _rounded(out.select("frame", "ring_count", "atom_count", "wrap_a", "wrap_b", "wrap_c", "area_A2", "area_scope", "normal_nematic_order"), 6)
 
 
+def _xyz_file(spark, d) -> str:
+    """The embeddings' trajectory as an extended XYZ file in the shared folder; every other frame lists its atoms backwards."""
+    t = project_embeddings(spark, d)
+    turn = F.when(F.col("frame") % 2 == 0, F.col("atom")).otherwise(-F.col("atom"))
+    line = F.concat_ws(" ", F.format_string("%.6f", "x"), F.format_string("%.6f", "y"), F.format_string("%.6f", "z"), "species", F.col("atom").cast("string"))
+    frames = t.atoms.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct(turn.alias("turn"), line.alias("line")))).alias("lines"))
+    head = F.format_string('Lattice="20 0 0 0 20 0 0 0 20" Origin="%.1f 0 0" Properties=pos:R:3:species:S:1:id:I:1', F.col("frame") * 0.5)
+    text = F.concat_ws("\n", F.size("lines").cast("string"), head, F.array_join("lines.line", "\n"))
+    folder = shared_path(spark, "xyz")
+    frames.select("frame", text.alias("value")).repartition(1).sortWithinPartitions("frame").select("value").write.text(folder)
+    return next(f for f in spark.read.text(folder).inputFiles()).removeprefix("file://")
+
+
+def xyz_atoms(spark, d):
+    """Read back from an XYZ file, origins taken off, atoms numbered by species as the frames' orders differ."""
+    t = xyz.load_trajectory(_xyz_file(spark, d), shift_by_origin=True, format="xyz", spark=spark)
+    return _rounded(t.atoms.groupBy("frame", "species").agg(F.count(F.lit(1)).alias("n"), F.min("atom").alias("first"), F.max("atom").alias("last"), F.sum("x").alias("x"), F.sum("y").alias("y")), 4)
+
+
+def xyz_selected_frames(spark, d):
+    """Frames of a file by their places in it, in the order asked for, in another box."""
+    t = xyz.load_trajectory(_xyz_file(spark, d), frames=[17, 3, 4], box=(20, 20, 25), normalize_species_order=False, format="xyz", spark=spark)
+    return _rounded(t.atoms.where("atom < 3").join(t.frames.select(F.col("frame").alias("f"), "source_frame", "volume"), F.col("frame") == F.col("f")).drop("f"), 6)
+
+
+def neighbor_lists(spark, d):
+    found = neighbors.neighbor_lists(project_embeddings(spark, d), 2.2, centers=["A", "C"], neighbors=["B", "C"])
+    return found.select("frame", "i", F.array_join("neighbors", ",").alias("neighbors"))
+
+
+def cached_coordination(spark, d):
+    """Computed once, kept, and read from the cache."""
+    cache = AnalysisCache(shared_path(spark, "cache").removeprefix("file://").removeprefix("file:"))
+    t = project_embeddings(spark, d)
+    for mode in ("use", "read_only"):
+        out = cache.get_or_compute(coordination.compute_coordination, t, base.COORDINATION, max_coordination=6, cache_mode=mode, cache_source_id=d)
+    return _long(out)
+
+
+def scattering_repaired(spark, d):
+    """Partials on a grid that rounding has made uneven: it is evened out first."""
+    t = rdf.compute_rdfs(project_embeddings(spark, d), bins=100, r_range=(0.0, 8.0))
+    ends = F.col("r").between(0.1, 7.9)
+    uneven = t.long.withColumn("r", F.col("r") + F.when(ends, F.sin(F.col("r") * 100) * 2e-7).otherwise(0.0))
+    out = scattering.compute_partial_structure_factors(Table(materialize(uneven, "uneven"), t.axis, t.labels, t.attrs), composition=scattering.ScatteringComposition(t.attrs["system"]["atom_counts"], elements=ELEMENTS), q_range=(0.5, 10.0))
+    return _long(out, 6)
+
+
+def plotted_structure_factor(spark, d):
+    """What a plot shows: pair contributions on the line S = 1."""
+    return _rounded(plotting.structure_factor_data(_scattering(spark, d, probes=("neutron",)).neutron), 6)
+
+
 def _sizes(spark, d) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_extendedprice") / 2000.0).alias("size_A"))
 
@@ -178,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         skewed_cells, skewed_pairs, skewed_rdf, skewed_coordination, shifted_atoms, selected_atoms, cutoff_clusters, scattering_xray_structure, scattering_neutron_rdf, scattering_neutron_al, scattering_interpolated, bessel_simpson,
-        composition_table, spectral_automatic, rings, graphenic_sheets, crystallite_sizes_summary, crystallite_sizes_moments, graphene_calibration, graphene_calibration_fine, diffraction_peak_fit,
+        composition_table, spectral_automatic, rings, graphenic_sheets, xyz_atoms, xyz_selected_frames, neighbor_lists, cached_coordination, scattering_repaired, plotted_structure_factor, crystallite_sizes_summary, crystallite_sizes_moments, graphene_calibration, graphene_calibration_fine, diffraction_peak_fit,
     )
 }
 
@@ -371,6 +426,16 @@ ORACLES = {
       errors AS (SELECT y.label, lines.k, s, i, avg(power(y - i - s * least(mode, lines.k), 2)) AS e FROM y JOIN lines ON lines.label = y.label GROUP BY ALL),
       best AS (SELECT label, arg_min(k, e) AS k, arg_min(s, e) AS s, arg_min(i, e) AS i FROM errors WHERE s < 0 GROUP BY label), middle AS (SELECT label, median(y) AS m FROM y GROUP BY label)
       SELECT label, CAST(coalesce(k, 2) AS INTEGER) AS selected_mode, round(coalesce(-s, 0), 6) AS decay_rate, round(coalesce(i + s * k, m), 6) AS log_noise_floor, k IS NULL AS fallback FROM middle LEFT JOIN best USING (label)""",
+    "xyz_atoms": f"""WITH {_ATOMS}, p AS (SELECT frame, species, round(x, 6) AS x, round(y, 6) AS y FROM atoms), n AS (SELECT species, count(*) AS n, CASE species WHEN (SELECT species FROM atoms WHERE frame = 0 AND atom = (SELECT min(atom) FROM atoms)) THEN 0 ELSE 1 END AS o FROM atoms WHERE frame = 0 GROUP BY species),
+      seen AS (SELECT species, min(atom) AS place FROM atoms WHERE frame = 0 GROUP BY species), ranks AS (SELECT s.species, coalesce(sum(n.n), 0) AS before FROM seen s LEFT JOIN seen t ON t.place < s.place LEFT JOIN n ON n.species = t.species GROUP BY s.species)
+      SELECT frame, p.species, count(*) AS n, CAST(any_value(before) AS BIGINT) AS first, CAST(any_value(before) + count(*) - 1 AS BIGINT) AS last, round(sum(x - frame * 0.5), 4) AS x, round(sum(y), 4) AS y FROM p JOIN ranks ON ranks.species = p.species GROUP BY frame, p.species""",
+    "xyz_selected_frames": f"""WITH {_ATOMS}, w(frame, source_frame) AS (VALUES (0, 17), (1, 3), (2, 4)), placed AS (SELECT *, CASE WHEN frame % 2 = 0 THEN row_number() OVER (PARTITION BY frame ORDER BY atom) ELSE row_number() OVER (PARTITION BY frame ORDER BY atom DESC) END - 1 AS place FROM atoms)
+      SELECT CAST(w.frame AS BIGINT) AS frame, CAST(place AS BIGINT) AS atom, species, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z, CAST(source_frame AS BIGINT) AS source_frame, 10000.0::DOUBLE AS volume FROM placed JOIN w ON w.source_frame = placed.frame WHERE place < 3""",
+    "neighbor_lists": f"""WITH {_pairs(2.2)}, n AS (SELECT frame, i, string_agg(CAST(j AS VARCHAR), ',' ORDER BY j) AS l FROM pairs WHERE sj IN ('B', 'C') GROUP BY frame, i)
+      SELECT a.frame, a.atom AS i, coalesce(l, '') AS neighbors FROM atoms a LEFT JOIN n ON n.frame = a.frame AND n.i = a.atom WHERE a.species IN ('A', 'C')""",
+    "cached_coordination": base.ORACLES["coordination_distribution"],
+    "scattering_repaired": base.ORACLES["partial_structure_factors"],
+    "plotted_structure_factor": f"""WITH s AS ({base.ORACLES["scattering_neutron"]}) SELECT round("Q", 6) AS "Q", label, round(value + CASE WHEN label = 'Total' THEN 0 ELSE 1 END, 6) AS y FROM s""",
     "graphenic_sheets": """SELECT CAST(k AS BIGINT) AS frame, CAST((k + 4) * (k + 4) AS BIGINT) AS ring_count, CAST(2 * (k + 4) * (k + 4) AS BIGINT) AS atom_count, TRUE AS wrap_a, TRUE AS wrap_b, FALSE AS wrap_c,
       round((k + 4) * (k + 4) * 1.5 * sqrt(3.0::DOUBLE) * 1.42 * 1.42, 6) AS "area_A2", 'periodic_cell' AS area_scope, 1.0::DOUBLE AS normal_nematic_order FROM range(6) t(k)""",
     "rings": f"{_rings_cte()} SELECT frame, array_to_string(path, ',') AS ring FROM found",

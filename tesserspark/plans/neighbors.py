@@ -74,3 +74,11 @@ def neighbor_pairs(trajectory: Trajectory, r_max: float, *, centers: list[str] |
     moved = near.withColumns({f"d{'xyz'[k - 1]}": cells.cartesian(*wrapped, k) for k in (1, 2, 3)})
     out = moved.withColumn("d2", F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz"))
     return out.where(F.col("d2") < r_max * r_max).select("frame", "i", "si", "j", "sj", "d2", "dx", "dy", "dz", "tx", "ty", "tz")
+
+
+def neighbor_lists(trajectory: Trajectory, r_max: float, *, centers: list[str] | None = None, neighbors: list[str] | None = None) -> DataFrame:
+    """(frame, i, neighbors): the atoms within the cutoff of every center, ascending; centers without any have an empty list."""
+    near = neighbor_pairs(trajectory, r_max, centers=centers, neighbors=neighbors).groupBy("frame", "i").agg(F.array_sort(F.collect_set("j")).alias("found"))
+    every = trajectory.atoms if centers is None else trajectory.atoms.where(F.col("species").isin(sorted(set(centers))))
+    joined = every.select("frame", F.col("atom").alias("i")).join(near, ["frame", "i"], "left")
+    return joined.select("frame", "i", F.coalesce("found", F.array().cast("array<bigint>")).alias("neighbors"))
