@@ -312,9 +312,9 @@ def _moved(reach: float) -> str:
 
 _NET = "WITH RECURSIVE " + _NETWORK.replace("\nbonds AS", f"\n{_moved(2.0)},\nbonds AS", 1)
 _SUMMARY = """,
-linked AS (SELECT frame, count_if(type = 'corner') AS corner_links, count_if(type = 'edge') AS edge_links, count_if(type = 'face') AS face_links, count(*) AS connected_links FROM typed GROUP BY frame),
+linked AS (SELECT frame, CAST(count_if(type = 'corner') AS BIGINT) AS corner_links, CAST(count_if(type = 'edge') AS BIGINT) AS edge_links, CAST(count_if(type = 'face') AS BIGINT) AS face_links, count(*) AS connected_links FROM typed GROUP BY frame),
 counted AS (
-  SELECT frame, CAST(sum(size) AS BIGINT) AS n_centers, count_if(size > 1) AS n_clusters_total, count_if(size > 1 AND NOT w) AS n_clusters_finite, count_if(size > 1 AND w) AS n_wrapping_clusters, max(size) AS largest_cluster_size, round(max(size) / sum(size), 9) AS largest_cluster_fraction,
+  SELECT frame, CAST(sum(size) AS BIGINT) AS n_centers, CAST(count_if(size > 1) AS BIGINT) AS n_clusters_total, CAST(count_if(size > 1 AND NOT w) AS BIGINT) AS n_clusters_finite, CAST(count_if(size > 1 AND w) AS BIGINT) AS n_wrapping_clusters, max(size) AS largest_cluster_size, round(max(size) / sum(size), 9) AS largest_cluster_fraction,
     round(coalesce(sum(CASE WHEN w THEN size END), 0) / sum(size), 9) AS percolation_strength, bool_or(wx) AS wrap_x, bool_or(wy) AS wrap_y, bool_or(wz) AS wrap_z, bool_or(w) AS wrap_any,
     CAST(count_if(size > 1 AND NOT w) AS DOUBLE) AS "M0_finite", CAST(coalesce(sum(CASE WHEN size > 1 AND NOT w THEN size END), 0) AS DOUBLE) AS "M1_finite", CAST(coalesce(sum(CASE WHEN size > 1 AND NOT w THEN size * size END), 0) AS DOUBLE) AS "M2_finite"
   FROM clusters GROUP BY frame),
@@ -391,7 +391,7 @@ b AS (SELECT CAST(floor(z / 0.5) AS BIGINT) AS k, count(*) AS c, sum(power(z / h
 ORACLES = {
     "skewed_cells": f"""WITH {_CELLS}, v AS (SELECT *, h11 * h22 * h33 AS volume FROM cells)
       SELECT frame, round(volume, 6) AS volume, round(volume / sqrt(power(h22 * h33, 2) + power(h21 * h33, 2) + power(h21 * h32 - h22 * h31, 2)), 6) AS w1, round(volume / (h11 * sqrt(h33 * h33 + h32 * h32)), 6) AS w2, round(h33, 6) AS w3 FROM v""",
-    "skewed_pairs": f"WITH {_skewed(4.0)} SELECT frame, si, sj, count(*) AS n, count_if(shifted) AS shifted, round(sum(sqrt(d2)), 5) AS total FROM pairs GROUP BY ALL",
+    "skewed_pairs": f"WITH {_skewed(4.0)} SELECT frame, si, sj, count(*) AS n, CAST(count_if(shifted) AS BIGINT) AS shifted, round(sum(sqrt(d2)), 5) AS total FROM pairs GROUP BY ALL",
     "skewed_rdf": _skewed_rdf_sql(),
     "skewed_coordination": f"""WITH {_skewed(3.0)}, bonds AS (SELECT frame, i AS a FROM pairs WHERE si = 'A' AND sj = 'B' UNION ALL SELECT frame, j FROM pairs WHERE sj = 'A' AND si = 'B'),
       n AS (SELECT frame, a, count(*) AS k FROM bonds GROUP BY ALL), samples AS (SELECT coalesce(k, 0) AS k FROM atoms LEFT JOIN n ON n.frame = atoms.frame AND a = atom WHERE species = 'A')
