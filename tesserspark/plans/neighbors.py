@@ -8,6 +8,8 @@ The generator stands in a projection: written as cross joins, the optimizer woul
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tesserspark.functions import box as cells
@@ -28,6 +30,22 @@ def safe_radius(trajectory: Trajectory) -> tuple[float, int]:
     return row["safe_radius"], row["source_frame"]
 
 
+#: Candidate pairs that one task of the join tests, about.
+TASK_PAIRS = 50_000_000
+
+
+def join_partitions(trajectory: Trajectory, r_max: float) -> int:
+    """How many tasks share the join: the work is in the pairs, so their number is reckoned, by the first frame's atoms and the mean volume.
+
+    A number that is too small only makes tasks longer; at the least there are as many as the session asks for.
+    """
+    spark = trajectory.atoms.sparkSession
+    row = trajectory.frames.agg(F.count(F.lit(1)).alias("n"), F.avg("volume").alias("v")).first()
+    atoms = trajectory.n_atoms if row["n"] else 0
+    around = min(float(atoms), 27 * r_max**3 * atoms / row["v"]) if atoms else 0.0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, math.ceil(row["n"] * atoms * around / TASK_PAIRS))
+
+
 def _located(trajectory: Trajectory, r_max: float, species: list[str] | None) -> DataFrame:
     """Atoms with fractional coordinates and their cells."""
     frames = trajectory.frames.select(F.col("frame").alias("__f"), *cells.H, *cells.G, *[F.greatest(F.lit(1), F.floor(F.col(f"w{k}") / r_max)).cast("long").alias(f"n{k}") for k in (1, 2, 3)])
@@ -62,9 +80,7 @@ def neighbor_pairs(trajectory: Trajectory, r_max: float, *, centers: list[str] |
         left = left.join(only.select("frame", "i"), ["frame", "i"], "left_semi")
     right = _located(trajectory, r_max, neighbors).select(F.col("frame").alias("__frame"), F.col("atom").alias("j"), F.col("species").alias("sj"), *[F.col(f"f{k}").alias(f"q{k}") for k in (1, 2, 3)], _cell(F.col("k1"), F.col("k2"), F.col("k3")).alias("__cell"))
     own = F.col("i") < F.col("j") if half else F.col("i") != F.col("j")
-    # the work is in the pairs, not in the bytes that go in: partitions of a given number are not coalesced by size
-    spark = trajectory.atoms.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = join_partitions(trajectory, r_max)  # partitions of a given number are not coalesced by size
     left, right = left.repartition(parts, "frame", "cell"), right.repartition(parts, "__frame", "__cell")
     f = [F.col(f"q{k}") - F.col(f"p{k}") for k in (1, 2, 3)]
     g = [x - cells.image(x) for x in f]

@@ -165,6 +165,17 @@ def test_partitions_do_not_matter(spark, dense):
         assert neighbor_pairs(Trajectory(t.frames, t.atoms.repartition(n), None), 3.0).count() == want
 
 
+def test_tasks_of_the_join_grow_with_its_pairs(spark, monkeypatch):
+    from tesserspark.plans import neighbors
+
+    t = make(spark, [np.random.default_rng(3).random((200, 3)) * 12] * 2, ["A"] * 200)
+    least = neighbors.join_partitions(t, 2.0)
+    want = neighbor_pairs(t, 2.0).count()
+    monkeypatch.setattr(neighbors, "TASK_PAIRS", 500)
+    assert neighbors.join_partitions(t, 2.0) == math.ceil(2 * 200 * 27 * 8 * 200 / 12**3 / 500) > least and neighbor_pairs(t, 2.0).count() == want
+    assert neighbors.join_partitions(t, 50.0) == 2 * 200 * 200 / 500  # no more than all atoms of a frame are around one
+
+
 def test_transform_and_scattering(spark):
     x = np.linspace(0, 10, 2001)
     assert np.allclose(spherical_bessel_transform(x, np.exp(-x * x), np.linspace(0, 5, 11)), np.sqrt(np.pi) / 4 * np.exp(-np.linspace(0, 5, 11) ** 2 / 4), atol=2e-10)
