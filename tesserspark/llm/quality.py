@@ -41,7 +41,7 @@ class QualityRules:
     window: int = 8
     max_repeat_percent: int = 30
     min_chars: int = 200
-    min_words: int = 20
+    min_words: int = 60
     short_allowance: float = 0.9
     max_char_distance: float = 0.28
     max_word_distance: float = 0.25

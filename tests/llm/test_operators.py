@@ -67,7 +67,7 @@ def test_short_junk_goes(spark):
     common = "the of and to in is it that for on with as was by at this from they are be".split()
     prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.45 else "w" + "".join(rng.choice(list("aeinorst"), 6)) for _ in range(n))
     junk = lambda n: " ".join("x" + "".join(rng.choice(list("aeinorst"), 6)) for _ in range(n))
-    rows = [(k, prose(int(rng.integers(40, 400))), "en") for k in range(200)] + [(1000 + k, junk(45 + 5 * k), "en") for k in range(10)]
+    rows = [(k, prose(int(rng.integers(60, 400))), "en") for k in range(200)] + [(1000 + k, junk(60 + 5 * k), "en") for k in range(10)]
     got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert sum(got[k] for k in range(200)) >= 198 and not any(got[1000 + k] for k in range(10))
 
