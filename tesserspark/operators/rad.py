@@ -89,7 +89,7 @@ def shells(trajectory: Trajectory, centers: Sequence[str] | None = None, nearest
     centers with few atoms around them, which meet all atoms of their frame.
     """
     safe, _ = safe_radius(trajectory)
-    mean = trajectory.frames.agg(F.avg("volume")).first()[0] / max(1, trajectory.n_atoms)
+    mean = trajectory.extent["volume"] / max(1, trajectory.n_atoms)
     columns = ["frame", "i", "si", "j", "sj", "d2", "dx", "dy", "dz"]
     wanted = trajectory.atoms if centers is None else trajectory.atoms.where(F.col("species").isin(list(centers)))
     names = None if centers is None else list(centers)

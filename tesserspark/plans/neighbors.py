@@ -18,7 +18,7 @@ from tesserspark.sources.trajectory import Trajectory
 
 def check_radius(trajectory: Trajectory, r_max: float) -> None:
     """Raises if the cutoff is beyond the safe radius of some frame: there the nearest image is not the only one."""
-    row = trajectory.frames.agg(F.min(F.struct("safe_radius", "source_frame")).alias("m")).first()["m"]
+    row = trajectory.extent["tightest"]
     if row is None:
         raise ValueError("frames must select at least one frame")
     if r_max > row["safe_radius"]:
@@ -26,7 +26,7 @@ def check_radius(trajectory: Trajectory, r_max: float) -> None:
 
 
 def safe_radius(trajectory: Trajectory) -> tuple[float, int]:
-    row = trajectory.frames.agg(F.min(F.struct("safe_radius", "source_frame")).alias("m")).first()["m"]
+    row = trajectory.extent["tightest"]
     return row["safe_radius"], row["source_frame"]
 
 
@@ -40,9 +40,9 @@ def join_partitions(trajectory: Trajectory, r_max: float) -> int:
     A number that is too small only makes tasks longer; at the least there are as many as the session asks for.
     """
     spark = trajectory.atoms.sparkSession
-    row = trajectory.frames.agg(F.count(F.lit(1)).alias("n"), F.avg("volume").alias("v")).first()
+    row = trajectory.extent
     atoms = trajectory.n_atoms if row["n"] else 0
-    around = min(float(atoms), 27 * r_max**3 * atoms / row["v"]) if atoms else 0.0
+    around = min(float(atoms), 27 * r_max**3 * atoms / row["volume"]) if atoms else 0.0
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, math.ceil(row["n"] * atoms * around / TASK_PAIRS))
 
 

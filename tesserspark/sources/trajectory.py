@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tesserspark.functions import box as cells
 from tesserspark.sources.selections import selected
@@ -58,10 +58,15 @@ class Trajectory:
             atoms = moved.select("frame", "atom", "species", *[(F.col(k) - F.coalesce(F.col("o" + k), F.lit(0.0))).alias(k) for k in "xyz"])
         return cls(frames, atoms, filename)
 
+    @cached_property
+    def extent(self) -> Row:
+        """What plans need to know of all frames, in one pass: their number, the first, the tightest (safe_radius, source_frame), mean volume and mean inverse volume."""
+        tightest = F.min(F.struct("safe_radius", "source_frame")).alias("tightest")
+        return self.frames.agg(F.count(F.lit(1)).alias("n"), F.min("frame").alias("first"), tightest, F.avg("volume").alias("volume"), F.avg(1 / F.col("volume")).alias("inverse")).first()
+
     @cached_property
     def _first(self) -> dict[str, int]:
-        least = self.frames.agg(F.min("frame")).first()[0]
-        return dict(sorted(self.atoms.where(F.col("frame") == least).groupBy("species").count().collect()))
+        return dict(sorted(self.atoms.where(F.col("frame") == self.extent["first"]).groupBy("species").count().collect()))
 
     @property
     def species(self) -> tuple[str, ...]:
