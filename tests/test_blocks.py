@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tesserspark.operators import clustering, graph, rdf
+from tesserspark.operators import carbon, clustering, diffraction, graph, rdf
 from tesserspark.plans import blocks
 from tesserspark.sources import xyz
 from tests.test_trajectory_queries import images, make
@@ -116,3 +116,24 @@ def test_shared_links_by_blocks(crowded):
             kept = got[got.label == label]
             both = [graph.labelled_components(a, *e) for e in ((a[i], a[j], shift), (kept.left.to_numpy(), kept.right.to_numpy(), kept[["tx", "ty", "tz"]].to_numpy()))]
             assert both[0][0].tolist() == both[1][0].tolist() and both[0][1].tolist() == both[1][1].tolist(), label
+
+
+def test_debye_pairs_are_counted_in_groups(spark):
+    x = np.random.default_rng(3).random((200, 3)) * 5
+    atoms = spark.createDataFrame([(7, k, *map(float, v)) for k, v in enumerate(x)], "frame long, atom long, x double, y double, z double")
+    counted = diffraction.debye_histogram(atoms, 0.3, "frame", block=60)
+    assert plan(counted).count("SortMergeJoin") + plan(counted).count("BroadcastHashJoin") <= 2  # only with the number of blocks, on both sides
+    i, j = np.triu_indices(200, 1)
+    places, n = np.unique(np.floor(np.linalg.norm(x[i] - x[j], axis=1) / 0.3), return_counts=True)
+    assert {(r.frame, r.place): r.n for r in counted.collect()} == {(7, int(p)): c for p, c in zip(places, n)}
+
+
+def test_rings_of_a_dense_graph(spark):
+    """Beyond the states of a search from every edge; all edges but one chain's are in triangles."""
+    near = np.triu(np.random.default_rng(2).random((250, 250)) < 0.3, 1)
+    links = [(int(a), int(b)) for a, b in np.argwhere(near)] + [(0, 300), (300, 301), (301, 302), (302, 0)]
+    edges = spark.createDataFrame([(4, a, b) for u, v in links for a, b in ((u, v), (v, u))], "frame long, src long, dst long")
+    rings = [r.ring for r in carbon.frame_rings(edges).collect()]
+    full = (near | near.T).astype(int)
+    assert len(set(map(tuple, rings))) == len(rings) == np.trace(full @ full @ full) // 6 + 1
+    assert [r for r in rings if len(r) > 3] == [[0, 300, 301, 302]]
