@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tesserspark.functions import checks, constants
@@ -26,8 +27,12 @@ def carbon_xray_form_factor(q) -> np.ndarray:
 MOST_Q, MOST_BLOCK, MOST_ATOMS, MOST_BINS = 5_000, 1_024, 20_000, 1_000_000
 
 
+#: Pairs whose distances a group holds at once.
+PAIRS = 1 << 16
+
+
 def debye_histogram(atoms: DataFrame, width: float, key: str = "fragment", block: int = 2_048) -> DataFrame:
-    """(key, place, n): unordered pair distances by bin within each fragment; counted where they are joined.
+    """(key, place, n): unordered pair distances by bin within each fragment; pairs are counted in groups and never are rows.
 
     The atoms of a fragment are dealt into blocks and blocks meet pairwise, so a large fragment is many tasks.
     """
@@ -35,10 +40,26 @@ def debye_histogram(atoms: DataFrame, width: float, key: str = "fragment", block
     dealt = atoms.join(blocks, F.col(key) == F.col("k0")).withColumn("own", F.pmod(F.xxhash64("atom"), F.col("blocks")).cast("int"))
     left = dealt.select(key, "atom", "x", "y", "z", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"))
     right = dealt.select(F.col(key).alias("k2"), F.col("atom").alias("b"), *[F.col(x).alias(f"{x}2") for x in "xyz"], F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i2"), F.col("own").alias("j2"))
-    met = (F.col(key) == F.col("k2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
-    both = left.join(right, met & ((F.col("i") < F.col("j")) | (F.col("atom") < F.col("b"))))
-    d = F.sqrt(sum(((F.col(x) - F.col(f"{x}2")) ** 2 for x in "yz"), (F.col("x") - F.col("x2")) ** 2))
-    return both.groupBy(key, F.floor(d / width).alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    kind = dict(atoms.dtypes)[key]
+
+    def count(names: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        own, total = names[1].as_py() == names[2].as_py(), np.zeros(0, np.int64)
+        (p, *m), (q, *n) = ([t.column(x).to_numpy() for x in names] for t, names in ((a, ("atom", "x", "y", "z")), (b, ("b", "x2", "y2", "z2"))))
+        rows = max(1, PAIRS // max(1, len(q)))
+        for at in range(0, len(p) if len(q) else 0, rows):
+            part = slice(at, at + rows)
+            d = np.sqrt(sum(((u[part, None] - v[None]) ** 2 for u, v in zip(m[1:], n[1:])), (m[0][part, None] - n[0][None]) ** 2))
+            place = np.floor(d / width).astype(np.int64)
+            found = np.bincount(place[p[part, None] < q[None]] if own else place.ravel())
+            if len(found) > len(total):
+                found, total = total, found
+            total[: len(found)] += found
+        seen = np.flatnonzero(total)
+        keys = pa.array([names[0].as_py()] * len(seen), names[0].type)
+        return pa.table({key: keys, "place": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+
+    counted = left.groupBy(key, "i", "j").cogroup(right.groupBy("k2", "i2", "j2")).applyInArrow(count, f"`{key}` {kind}, place long, n long")
+    return counted.groupBy(key, "place").agg(F.sum("n").alias("n"))
 
 
 def debye_patterns(atoms: DataFrame, q: Sequence[float], width: float = 0.001, key: str = "fragment") -> DataFrame:
