@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 
 from tesserspark.operators import angles, carbon, clustering, diffraction, graph, rad, rdf
-from tesserspark.plans import blocks, neighbors
+from tesserspark.plans import blocks, neighbors, registry
 from tesserspark.sources import xyz
+from tests.conftest import SF
 from tests.test_trajectory_queries import images, make
 
 CELLS = {"cube": (12, 12, 12, 90, 90, 90), "skew": (12, 13, 12, 73, 82, 78)}
@@ -212,6 +213,32 @@ def test_rings_of_a_dense_graph(spark):
     assert [r for r in rings if len(r) > 3] == [[0, 300, 301, 302]]
 
 
+@pytest.mark.parametrize("most", [8, 5])
+def test_ring_counts_by_blocks(crowded, most):
+    (t, _, _), _ = crowded
+    counted = carbon.trajectory_ring_counts(t, 1.3, most)
+    shape = plan(counted)
+    assert "FlatMapGroupsInArrow" in shape and "explode(" not in shape.split("FlatMapGroupsInArrow")[0]
+    links = neighbors.neighbor_pairs(t, 1.3).select("frame", "i", "j").withColumnsRenamed({"i": "src", "j": "dst"})
+    want = sorted(tuple(r) for r in carbon.ring_counts(carbon.frame_rings(links, most)).collect())
+    assert sorted(tuple(r) for r in counted.collect()) == want and any(size > 3 for _, size, _ in want)
+
+
+def test_ring_counts_need_no_links_and_no_triangles_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "neighbor_pairs", None)
+    monkeypatch.setattr(registry, "neighbor_pairs", None)  # links of the registered query were pairs in the shuffle
+    monkeypatch.setattr(carbon, "neighbor_pairs", None, raising=False)
+    monkeypatch.setattr(carbon, "frame_rings", None)
+    assert registry.QUERIES["ring_counts"](spark, SF).where("ring_size = 3").agg({"n": "sum"}).first()[0] == 2038
+
+
+def test_ring_counts_of_rings_around_the_cell(spark):
+    """Three atoms in a row that close around the cell: blocks would miss them."""
+    x = np.array([[0.5, 1, 1], [2.5, 1, 1], [4.5, 1, 1]])
+    t = make(spark, [x], ["A"] * 3, (6, 6, 6, 90, 90, 90))
+    assert [tuple(r) for r in carbon.trajectory_ring_counts(t, 2.5, 8).collect()] == [(0, 3, 1)]
+
+
 def test_angles_by_blocks(crowded):
     (t, x, h), cell = crowded
     asked = angles.normalize_definitions(t, [("A", "B", "A", 1.9), ("A", "B", "A", 1.9, 1.5, "unequal"), ("A", "B", "C", 1.9, 1.7)])
