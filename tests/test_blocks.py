@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from tesserspark.operators import angles, carbon, clustering, diffraction, graph, rad, rdf
-from tesserspark.plans import blocks, neighbors, registry
+from tesserspark.plans import blocks, extra, neighbors, registry
 from tesserspark.sources import xyz
 from tests.conftest import SF
 from tests.test_trajectory_queries import images, make
@@ -232,6 +232,20 @@ def test_ring_counts_need_no_links_and_no_triangles_as_rows(spark, monkeypatch):
     assert registry.QUERIES["ring_counts"](spark, SF).where("ring_size = 3").agg({"n": "sum"}).first()[0] == 2038
 
 
+def test_rings_by_blocks(crowded):
+    (t, _, _), _ = crowded
+    links = neighbors.neighbor_pairs(t, 1.3).select("frame", "i", "j").withColumnsRenamed({"i": "src", "j": "dst"})
+    want = sorted((r.frame, r.ring) for r in carbon.frame_rings(links).collect())
+    assert sorted((r.frame, r.ring) for r in carbon.trajectory_rings(t, 1.3).collect()) == want and any(len(r) > 5 for _, r in want)
+
+
+def test_rings_come_from_blocks_without_links(spark, monkeypatch):
+    for module in (neighbors, registry, carbon):
+        monkeypatch.setattr(module, "neighbor_pairs", None, raising=False)
+    monkeypatch.setattr(carbon, "frame_rings", None)
+    assert extra.QUERIES["rings"](spark, SF).distinct().count() == 2101
+
+
 def test_ring_counts_of_rings_around_the_cell(spark):
     """Three atoms in a row that close around the cell: blocks would miss them."""
     x = np.array([[0.5, 1, 1], [2.5, 1, 1], [4.5, 1, 1]])
