@@ -115,7 +115,7 @@ def speciation_distribution(spark, d):
 
 
 def occupancy(spark, d):
-    shares = _environments(spark, d).occupancy(assume_stable_atom_identity=True)
+    shares = _environments(spark, d).occupancy(assume_stable_atom_identity=True, ordered=False)
     return shares.withColumn("occupancy", F.when(F.col("observations") > 0, F.round("occupancy", 9)).otherwise(0.0))  # most are zero, and rounding is dear
 
 

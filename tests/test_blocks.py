@@ -285,3 +285,19 @@ def test_occupancy_neither_joins_nor_sorts_pairs(spark, monkeypatch):
     want = [(a, kind[a], b, kind[b], seen.get((a, b), 0), seen.get((a, b), 0) / 2) for a in range(120) for b in range(120) if a != b and kind[a] in "AB" and kind[b] in "CA"]
     assert [tuple(r) for r in got.collect()] == want and seen
     assert e.occupancy("B", "C", bond_mode="mutual", assume_stable_atom_identity=True).count() == 900
+
+
+def test_occupancy_in_teams(spark, monkeypatch):
+    monkeypatch.setattr(rad, "TEAM_BITS", 4)  # the last of six teams has ten centers
+    t, _, _ = crowd(spark, CELLS["skew"], n=120)
+    e = rad.compute_rad_environments(t, ["A", "B"], neighbor_species=["C", "A"])
+    got = [tuple(r) for r in e.occupancy(assume_stable_atom_identity=True, ordered=False).collect()]
+    want = [tuple(r) for r in e.occupancy(assume_stable_atom_identity=True).collect()]
+    assert sorted(got) == want and got != want and any(r[4] for r in want)
+
+
+def test_occupancy_takes_little_room(spark, tmp_path):
+    """A row for every pair, most of them alike: as files they must not grow by bytes a row."""
+    registry.QUERIES["occupancy"](spark, SF).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    assert rows == 123_691 and sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 1.5 * rows
